@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import pii, secrets
 from . import quality_rules as quality
 from ._common import table
 
@@ -43,3 +44,23 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        CAST(n_repeat_words AS BIGINT) AS n_repeat_words, (fail_bits & 3) <> 0 AS base_failed,
        fail_bits = 0 AS kept, CAST(fail_bits AS BIGINT) AS fail_bits FROM b
 """
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = [k.name for k in pii.KINDS if k.base]
+    of = lambda *names: F.filter("pii", lambda s: s["kind"].isin(*names))
+    return found.select(
+        "doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in base],
+        F.sha2(pii.joined(of(*base)), 256).alias("base_sha256"), pii.joined(F.col("pii")).alias("spans"),
+    )
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = ("assign", "access", "hex")
+    of = lambda *names: F.filter("secrets", lambda s: s["kind"].isin(*names))
+    return found.select(
+        "doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in base],
+        F.sha2(secrets.joined(of(*base)), 256).alias("base_sha256"), secrets.joined(F.col("secrets")).alias("spans"),
+    )
