@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import queries_corpus as corpus
 from . import queries_text as text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_packing": corpus.op2_packing,
     "op5_quality_rules": text.op5_quality_rules,
+    "op6_mixing": corpus.op6_mixing,
+    "op7_pii": text.op7_pii,
+    "op9_secrets": text.op9_secrets,
 }
 ORACLES: dict[str, str] = {
     "op5_quality_rules": text.OP5_SQL,
+    "op6_mixing": corpus.OP6_SQL,
 }
