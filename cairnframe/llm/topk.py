@@ -189,7 +189,7 @@ def top_k(
     striped = blocks.withColumn("stripe", F.pmod(F.xxhash64("block"), F.lit(stripes)).cast("int"))
     ready = ready.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
     reach = F.col("q_top") * F.col("top") * (1 + 1e-9) + 1e-6 >= F.col("low")
-    pairs = ready.join(striped, (ready["dim"] == striped["dim"]) & (ready["stripe"] == striped["stripe"]) & reach).drop(striped["dim"])
+    pairs = ready.join(striped, (ready["dim"] == striped["dim"]) & (ready["stripe"] == striped["stripe"]) & reach).drop(striped["dim"], striped["stripe"])
 
     def matched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
