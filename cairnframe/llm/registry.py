@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import queries_corpus as corpus
 from . import queries_learned as learned
+from . import queries_pages as pages
 from . import queries_text as text
 from . import queries_vectors as vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": corpus.op2_packing,
     "op3_toxicity": learned.op3_toxicity,
+    "op4_html_text": pages.op4_html_text,
     "op5_quality_rules": text.op5_quality_rules,
     "op6_mixing": corpus.op6_mixing,
     "op7_pii": text.op7_pii,
