@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import materialize, scratch
 from .components import components
 
 SHINGLE = 5
@@ -183,6 +183,11 @@ def near_duplicates(
     docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id",
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row per input row."""
+    with scratch(docs.sparkSession):
+        return materialize(_near_duplicates(docs, shingle, percent, text, doc_id), "near-found", keep=True)
+
+
+def _near_duplicates(docs: DataFrame, shingle: int, percent: int, text: str, doc_id: str) -> DataFrame:
     rows = materialize(sketches(docs, text, doc_id, shingle), "near-sketches")
     usable = rows.where(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
     classes = usable.groupBy("set_hash").agg(F.min(F.struct("doc_id", "n", "sig")).alias("c")).select("set_hash", "c.doc_id", "c.n", "c.sig")
