@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import materialize, n_words
+from ._common import materialize, n_words, words
 
 MAX_REPEAT = 3
 BLOCK = 64
@@ -122,3 +122,19 @@ def mix(docs: DataFrame, block: int = BLOCK, max_repeat: int = MAX_REPEAT, shard
     rest = F.when(F.col("cell_size") > 0, F.col("cell_words") % F.col("cell_size")).otherwise(F.lit(0))
     taken = F.col("size") * whole + F.least(F.greatest(rest - F.col("start"), F.lit(0)), F.col("size"))
     return lines.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def take(docs: DataFrame, mixed: DataFrame, text: str = "text") -> DataFrame:
+    """The documents as the mix takes them, in the columns of ``docs``.
+
+    ``mixed`` has one row a doc_id. A document taken for a whole multiple of its
+    size is repeated so often; a remainder adds its first words, joined by
+    single spaces. Documents without words take no part.
+    """
+    share = mixed.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken")).where("__taken > 0")
+    rows = docs.join(share, docs["doc_id"] == F.col("__id"))
+    rest = (F.col("__taken") % F.col("__size")).cast("int")
+    part = F.when(rest > 0, F.array_join(F.slice(words(F.col(text)), F.lit(1), F.greatest(rest, F.lit(1))), " "))
+    whole = F.array_repeat(F.col(text), F.expr("__taken div __size").cast("int"))
+    copies = F.concat(whole, F.when(rest > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
+    return rows.withColumn(text, F.explode(copies)).select(*docs.columns)

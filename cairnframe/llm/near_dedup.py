@@ -289,3 +289,18 @@ def block_links(r, percent: int) -> list[tuple[int, int]]:
         common += (incidence(x, s1, low, high) @ incidence(y, s2, low, high).T).astype(np.int32)
     ok = (100 * common >= percent * (s1[:, None] + s2[None, :] - common)) & (p1[:, None] != p2[None, :])
     return [(int(n1[i]), int(n2[j])) for i, j in zip(*np.nonzero(ok), strict=True)]
+
+
+def first_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One document of each group of near duplicates: that of the least id, once.
+
+    Only ids are joined back; rows with a null id stay.
+    """
+    found = near_duplicates(docs, shingle, percent, text, doc_id)
+    out = docs.join(found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), F.col(doc_id) == F.col("__gone"), "left_anti")
+    again = found.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return out
+    # Repeated rows are rare; only they are told apart.
+    repeated = out.join(again.select(F.col("doc_id").alias("__again")), F.col(doc_id) == F.col("__again"), "left_semi").dropDuplicates([doc_id])
+    return out.join(again.select(F.col("doc_id").alias("__again")), F.col(doc_id) == F.col("__again"), "left_anti").unionByName(repeated)
