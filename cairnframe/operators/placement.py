@@ -94,7 +94,7 @@ def replicas(objects: DataFrame, layout: DataFrame, size: int, n: int, probes: i
     asked = asked.withColumn("slot", ((slot_of(F.col("obj_id"), size).cast("bigint") + F.col("k") * step) % size).cast("int"))
     met = asked.join(layout, "slot").select("obj_id", "store_id", F.col("k").cast("bigint").alias("k"))
     stores = layout.select("store_id").distinct()
-    rest = objects.select("obj_id").withColumn("s", F.explode(F.array_sort(stores.agg(F.collect_list("store_id")).scalar()))).select("obj_id", F.col("s").alias("store_id"), F.lit(probes).cast("bigint").alias("k"))
+    rest = objects.select("obj_id").withColumn("s", F.explode(stores.agg(F.sort_array(F.collect_list("store_id"))).scalar())).select("obj_id", F.col("s").alias("store_id"), F.lit(probes).cast("bigint").alias("k"))
     first = met.unionByName(rest).groupBy("obj_id", "store_id").agg(F.min("k").alias("k"))
     rank = F.row_number().over(W.partitionBy("obj_id").orderBy("k", "store_id"))
     return first.withColumn("rank", rank).where(F.col("rank") <= n).select("obj_id", "rank", "store_id")
