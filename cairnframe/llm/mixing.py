@@ -75,7 +75,7 @@ def apportion(rows: DataFrame, group: list[str], order: list[Column], weight: st
     """
     g = W.partitionBy(*group)
     w = F.col(weight).cast("double")
-    rows = rows.withColumns({"__all": F.sum(w).over(g), "__n": F.count(F.lit(1)).over(g)})
+    rows = rows.withColumns({"__all": F.sum(w).over(g), "__n": F.count(F.lit(1)).over(g), "__at": F.row_number().over(g.orderBy(*order))})
     rows = rows.withColumn("__q", F.when(F.col("__all") > 0, F.floor(F.col(seats).cast("double") * w / F.col("__all") + 0.5)).otherwise(F.lit(0)).cast("long"))
     rows = rows.withColumn("__diff", F.when(F.col("__all") > 0, F.col(seats) - F.sum("__q").over(g)).otherwise(F.lit(0)))
     near = (F.floor(2 * F.col("__n") * w / F.greatest(F.col("__all"), F.lit(1.0))) + 2).cast("int")
@@ -84,7 +84,8 @@ def apportion(rows: DataFrame, group: list[str], order: list[Column], weight: st
     odd = F.when(F.col("__diff") >= 0, 2 * (F.col("__q") + F.col("__k")) + 1).otherwise(2 * (F.col("__q") - F.col("__k")) - 1)
     tries = tries.withColumn("__quotient", F.when(odd > 0, w / odd))
     ranked = W.partitionBy(*group).orderBy(
-        F.col("__quotient").isNull(), F.when(F.col("__diff") >= 0, -F.col("__quotient")).otherwise(F.col("__quotient")), *order, "__k"
+        F.col("__quotient").isNull(), F.when(F.col("__diff") >= 0, -F.col("__quotient")).otherwise(F.col("__quotient")),
+        F.when(F.col("__diff") >= 0, F.col("__at")).otherwise(-F.col("__at")), "__k",
     )
     keep = list(dict.fromkeys(c for c in rows.columns if not c.startswith("__")))
     moved = (F.row_number().over(ranked) <= F.abs("__diff")) & F.col("__quotient").isNotNull()

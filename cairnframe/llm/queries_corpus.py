@@ -64,19 +64,18 @@ mixed AS (SELECT doc_id, source, size, source_size, target, CAST(CASE WHEN cell_
 
 def _apportion_sql(name: str, rows: str, group: str, order: str, weight: str) -> str:
     """CTEs that end in ``{name}_q``: the rows and their ``quota`` of ``seats``."""
-    order_key = order.split()[0]
     return f"""
 {name}_0 AS (SELECT *, CAST({weight} AS DOUBLE) AS wt, CAST(sum(CAST({weight} AS DOUBLE)) OVER (PARTITION BY {group}) AS DOUBLE) AS wall,
-             count(*) OVER (PARTITION BY {group}) AS n FROM {rows}),
+             count(*) OVER (PARTITION BY {group}) AS n, row_number() OVER (PARTITION BY {group} ORDER BY {order}) AS ord FROM {rows}),
 {name}_1 AS (SELECT *, CASE WHEN wall > 0 THEN CAST(floor(CAST(seats AS DOUBLE) * wt / wall + 0.5) AS BIGINT) ELSE 0 END AS q0 FROM {name}_0),
 {name}_2 AS (SELECT *, CASE WHEN wall > 0 THEN CAST(seats - sum(q0) OVER (PARTITION BY {group}) AS BIGINT) ELSE 0 END AS diff FROM {name}_1),
 {name}_3 AS (SELECT *, unnest(range(0, CASE WHEN diff = 0 THEN 1 ELSE CAST(floor(2 * n * wt / greatest(wall, 1.0)) AS BIGINT) + 3 END)) AS k FROM {name}_2),
 {name}_4 AS (SELECT *, CASE WHEN diff >= 0 THEN 2 * (q0 + k) + 1 ELSE 2 * (q0 - k) - 1 END AS odd FROM {name}_3),
 {name}_5 AS (SELECT *, CASE WHEN odd > 0 THEN wt / odd END AS quo FROM {name}_4),
 {name}_6 AS (SELECT *, quo IS NOT NULL AND row_number() OVER (PARTITION BY {group} ORDER BY quo IS NULL,
-             CASE WHEN diff >= 0 THEN -quo ELSE quo END, {order}, k) <= abs(diff) AS moved FROM {name}_5),
+             CASE WHEN diff >= 0 THEN -quo ELSE quo END, CASE WHEN diff >= 0 THEN ord ELSE -ord END, k) <= abs(diff) AS moved FROM {name}_5),
 {name}_q AS (SELECT * EXCLUDE (k, odd, quo, moved, up), q0 + CAST(sign(diff) AS BIGINT) * CAST(up AS BIGINT) AS quota
-             FROM (SELECT *, count(*) FILTER (moved) OVER (PARTITION BY {group}, {order_key}) AS up FROM {name}_6) WHERE k = 0)"""
+             FROM (SELECT *, count(*) FILTER (moved) OVER (PARTITION BY {group}, ord) AS up FROM {name}_6) WHERE k = 0)"""
 
 
 OP6_SQL = mixing_sql() + "SELECT doc_id, size, source_size, target, taken FROM mixed"
