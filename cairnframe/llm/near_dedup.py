@@ -43,8 +43,9 @@ TREES = 16
 DEPTH = 6
 ROOT = 3
 NEAR = 5
-#: Least share of equal signature values for a pair to be read: five standard errors below 0.8.
-LEAST_MATCH = 0.8 - 5 * (0.8 * 0.2 / (TREES * DEPTH)) ** 0.5
+#: Most of the signature's values whose two-bit marks may differ for a pair to be
+#: read: at 0.8 a value differs with probability 0.15, and five standard errors are added.
+MOST_UNLIKE = int(TREES * DEPTH * 0.15 + 5 * (TREES * DEPTH * 0.15 * 0.85) ** 0.5)
 #: Classes of a block in the second look at dense regions.
 BLOCK = 256
 
@@ -104,7 +105,7 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def sketches(docs: DataFrame, text: str, doc_id: str, shingle: int) -> DataFrame:
     """doc_id, n (set size), set_hash and sig (both null for an empty set)."""
 
-    @F.pandas_udf("struct<n:long,set_hash:binary,sig:binary>")
+    @F.pandas_udf("struct<n:long,set_hash:binary,sig:binary,marks:binary>")
     def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import xxhash
 
@@ -113,39 +114,56 @@ def sketches(docs: DataFrame, text: str, doc_id: str, shingle: int) -> DataFrame
             rows = []
             for t in texts:
                 s = of(t)
-                rows.append((len(s), xxhash.xxh128_digest(s.tobytes()), signature(s, a, b).tobytes()) if len(s) else (0, None, None))
-            yield pd.DataFrame(rows, columns=["n", "set_hash", "sig"])
+                sig = signature(s, a, b).tobytes() if len(s) else None
+                rows.append((len(s), xxhash.xxh128_digest(s.tobytes()), sig, _marks(sig)) if sig else (0, None, None, None))
+            yield pd.DataFrame(rows, columns=["n", "set_hash", "sig", "marks"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), sketched(text).alias("s")).select("doc_id", "s.n", "s.set_hash", "s.sig")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), sketched(text).alias("s")).select("doc_id", "s.n", "s.set_hash", "s.sig", "s.marks")
+
+
+def _marks(sig: bytes) -> bytes:
+    """Two low bits of each signature value: enough to estimate a similarity."""
+    low = (np.frombuffer(sig, ">u4") & np.uint32(3)).astype(np.uint8).reshape(-1, 4)
+    return (low[:, 0] | low[:, 1] << 2 | low[:, 2] << 4 | low[:, 3] << 6).astype(np.uint8).tobytes()
+
+
+_ODD = int.from_bytes(b"\x55" * (TREES * DEPTH // 4), "big")
+
+
+def _unlike(x: int, y: int) -> int:
+    """Number of values whose marks differ."""
+    z = x ^ y
+    return ((z | z >> 1) & _ODD).bit_count()
 
 
 def candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, dense) of neighbouring classes; ``dense`` tells that the region has more than ``NEAR`` + 1."""
-    width = 4 * DEPTH
+    """Pairs (a, b, dense) of neighbouring classes; ``dense`` tells that the region has more than ``NEAR``."""
+    width, cut = 4 * DEPTH, 4 * ROOT
     rows = classes.select(
-        F.col("doc_id").alias("node"), "n", "sig",
+        F.col("doc_id").alias("node"), "n", "marks",
         F.posexplode(F.array(*[F.substring("sig", t * width + 1, width) for t in range(TREES)])).alias("tree", "order"),
-    ).withColumn("root", F.substring("order", 1, 4 * ROOT))
-    # A class alone in its region has no neighbour: a count by region goes first, and only full regions are sorted.
-    sizes = rows.groupBy("tree", "root").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    full = rows.join(sizes, ["tree", "root"]).select("tree", "order", "node", "n", "sig", "size")
+    )
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: list[tuple] = []
+        kept: list[tuple] = []  # the last rows of the region at the end of the batch before
         for batch in batches:
-            out = []
-            for tree, order, node, n, sig, size in batch.itertuples(index=False):
-                root = (tree, order[: 4 * ROOT])
-                if last and last[-1][0] != root:
-                    last = []
-                values = np.frombuffer(sig, ">u4")
-                for _, other, m, theirs in last:
-                    if 100 * min(n, m) >= percent * max(n, m) and node != other and (values == theirs).mean() >= LEAST_MATCH:
-                        out.append((min(node, other), max(node, other), size > NEAR + 1))
-                last = [*last[-(NEAR - 1):], (root, node, n, values)]
+            now = kept + list(batch[["tree", "order", "node", "n", "marks"]].itertuples(index=False, name=None))
+            roots = [(r[0], r[1][:cut]) for r in now]
+            out, run = [], 0
+            for i in range(1, len(now)):
+                run = run + 1 if roots[i] == roots[i - 1] else 0
+                if not run or i < len(kept):
+                    continue
+                _, _, node, n, marks = now[i]
+                mine = int.from_bytes(marks, "big")
+                for _, _, other, m, theirs in now[max(i - min(run, NEAR), 0): i]:
+                    if 100 * min(n, m) >= percent * max(n, m) and node != other and _unlike(mine, int.from_bytes(theirs, "big")) <= MOST_UNLIKE:
+                        out.append((min(node, other), max(node, other), run >= NEAR))
+            same = [r for r, root in zip(now[-NEAR:], roots[-NEAR:], strict=True) if root == roots[-1]]
+            kept = same
             yield pd.DataFrame(out, columns=["a", "b", "dense"])
 
-    found = full.repartition("tree", F.substring("order", 1, 4 * ROOT)).sortWithinPartitions("tree", "order", "node")
+    found = rows.repartition("tree", F.substring("order", 1, cut)).sortWithinPartitions("tree", "order", "node")
     return found.mapInPandas(task, "a long, b long, dense boolean").groupBy("a", "b").agg(F.max("dense").alias("dense"))
 
 
@@ -155,7 +173,10 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, shingle: int) -> DataFrame:
-    """(node, shingles) for the classes in ``nodes`` (node, set_hash), from their texts."""
+    """(node, shingles) for the classes in ``nodes``, from their texts.
+
+    Nodes grow with the corpus, so the texts meet them by a shuffle at any size.
+    """
 
     @F.pandas_udf("binary")
     def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -163,7 +184,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, shingle
         for texts in batches:
             yield pd.Series([of(t).tobytes() for t in texts], dtype=object)
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("__text")).join(nodes.select("node"), "node", "left_semi")
+    rows = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("__text")).join(nodes.select("node").hint("merge"), "node", "left_semi")
     return rows.select("node", packed("__text").alias("shingles")).dropDuplicates(["node"])
 
 
@@ -190,7 +211,7 @@ def near_duplicates(
 def _near_duplicates(docs: DataFrame, shingle: int, percent: int, text: str, doc_id: str) -> DataFrame:
     rows = materialize(sketches(docs, text, doc_id, shingle), "near-sketches")
     usable = rows.where(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
-    classes = usable.groupBy("set_hash").agg(F.min(F.struct("doc_id", "n", "sig")).alias("c")).select("set_hash", "c.doc_id", "c.n", "c.sig")
+    classes = usable.groupBy("set_hash").agg(F.min(F.struct("doc_id", "n", "sig", "marks")).alias("c")).select("set_hash", "c.doc_id", "c.n", "c.sig", "c.marks")
     classes = materialize(classes, "near-classes")
     pairs = materialize(candidates(classes, percent), "near-pairs")
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -204,7 +225,7 @@ def _near_duplicates(docs: DataFrame, shingle: int, percent: int, text: str, doc
         "set_hash", F.coalesce("component", "node").alias("component_id")
     )
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "set_hash").join(known, "set_hash", "left")
-    component = F.when(F.col("set_hash").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
+    component = F.when(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -216,7 +237,9 @@ def apart(pairs: DataFrame, found: DataFrame, sets: DataFrame, percent: int) ->
     block of the first kind meets every block of the second kind, as rows of
     packed sets, and only links come out.
     """
-    region = components(pairs.where("dense").select("a", "b")).withColumnRenamed("component", "region")
+    region = components(pairs.select("a", "b")).withColumnRenamed("component", "region")
+    dense = region.join(pairs.where("dense").select(F.col("a").alias("node")).distinct(), "node").select("region").distinct()
+    region = region.join(dense, "region", "left_semi")
     member = region.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     member = materialize(member, "near-regions")
     sizes = member.groupBy("region", "component").count()
