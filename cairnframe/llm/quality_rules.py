@@ -22,7 +22,7 @@ from ._common import BLANKS, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "ledger_row", "fail_bits", "kept", "policy")
 
 
 @dataclass(frozen=True)
@@ -123,12 +123,17 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """Measurements and ``fail_bits``: bit b is set when rule b fails."""
+    """Measurements and ``fail_bits``: bit b is set when rule b fails.
+
+    ``ledger_row`` numbers the rows. A filter that names it stays above the
+    measurements; without it the optimizer would move a policy's filter below
+    them and evaluate every rule twice.
+    """
     bits = sum(
         (F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long") for r in rules[1:]),
         F.when(F.expr(rules[0].fails), F.lit(1 << rules[0].bit)).otherwise(F.lit(0)).cast("long"),
     )
-    return measure(docs, text).withColumn("fail_bits", bits)
+    return measure(docs, text).withColumn("ledger_row", F.monotonically_increasing_id()).withColumn("fail_bits", bits)
 
 
 def apply_policy(rows: DataFrame, policy: Policy = STANDARD, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -139,6 +144,12 @@ def apply_policy(rows: DataFrame, policy: Policy = STANDARD, rules: tuple[Rule,
     })
 
 
+def passing(docs: DataFrame, policy: Policy = STANDARD, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """The documents that a policy keeps, in their own columns."""
+    rows = apply_policy(ledger(docs, rules, text), policy, rules)
+    return rows.where(F.col("kept") & (F.col("ledger_row") >= 0)).select(*docs.columns)
+
+
 def ablations(rows: DataFrame, policy: Policy = STANDARD, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """For each rule of a policy: documents that fail it, and documents that
     would come back if it alone were left out.
