@@ -16,7 +16,7 @@ from cairnframe.llm.queries_corpus import packed
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the standard policy."""
-    return quality_rules.apply_policy(quality_rules.ledger(docs)).where("kept").select(*DOC_COLUMNS)
+    return quality_rules.passing(docs.select(*DOC_COLUMNS))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
