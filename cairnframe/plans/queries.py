@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, ids, paths, versions
-from ..operators import chunks, cow, ledger, objects, overlay, placement, traversal
+from ..operators import chunks, cow, ledger, lifecycle, locators, objects, overlay, placement, traversal
 from ..operators import packages as pkg
 from .tables import deltas, file_paths, files, mutations, packages, table
 
@@ -402,3 +402,67 @@ def cow_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     over = base.where("idx % 3 = 1").select("doc_id", "idx", F.concat(F.lit("mix256:new"), F.col("idx").cast("string")).alias("chunk_id"), F.lit(10).cast("bigint").alias("chunk_size"))
     end = base.groupBy("doc_id").agg((F.max("idx") + 1).alias("idx")).select("doc_id", "idx", F.lit("mix256:end").alias("chunk_id"), F.lit(7).cast("bigint").alias("chunk_size"))
     return cow.merge(base, over.unionByName(end), "doc_id").select("doc_id", "idx", "chunk_id", "chunk_size", "origin", "start")
+
+
+@query("""WITH r AS (SELECT event_id, ['Append','ContinueWrite','CreateExclusive','CreateOrTruncate','CreateOrAppend'][event_id % 5 + 1] AS flag, ['absent','tombstone','object','directory','link','inode'][user_id % 6 + 1] AS entry,
+CASE event_type WHEN 'click' THEN 'Working' WHEN 'view' THEN 'Cooling' ELSE 'Finalized' END AS state FROM events),
+o AS (SELECT event_id, flag, entry, CASE WHEN entry = 'directory' THEN 'is_directory' WHEN entry = 'link' THEN 'is_link'
+WHEN entry IN ('absent', 'tombstone') THEN CASE WHEN flag IN ('Append', 'ContinueWrite') THEN 'not_found' ELSE 'created' END
+WHEN flag = 'CreateExclusive' THEN 'exists' WHEN flag = 'ContinueWrite' THEN CASE WHEN entry = 'inode' AND state <> 'Finalized' THEN 'resumed' ELSE 'conflict' END
+WHEN entry = 'inode' AND state = 'Working' THEN 'conflict' ELSE 'opened' END AS outcome FROM r)
+SELECT event_id, outcome, outcome IN ('created', 'opened', 'resumed') AND flag IN ('CreateExclusive', 'CreateOrTruncate') AS truncates,
+outcome IN ('opened', 'resumed') AND flag NOT IN ('CreateExclusive', 'CreateOrTruncate') AS keeps_base FROM o""")
+def file_open_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    pick = lambda names, n: F.get(F.array(*[F.lit(x) for x in names]), n.cast("int"))
+    asked = e.select(
+        "event_id", pick(lifecycle.FLAGS, F.col("event_id") % 5).alias("flag"), pick(("absent", "tombstone", "object", "directory", "link", "inode"), F.col("user_id") % 6).alias("entry"),
+        F.when(F.col("event_type") == "click", "Working").when(F.col("event_type") == "view", "Cooling").otherwise("Finalized").alias("state"),
+    )
+    return lifecycle.open_writer(asked).select("event_id", "outcome", "truncates", "keeps_base")
+
+
+@query("""SELECT o_orderkey, 'bytes=' || o_orderkey || '-' || (o_orderkey + o_custkey) AS byte_range,
+CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'incompleted' ELSE 'not_exist' END AS state,
+CAST(CASE WHEN o_orderstatus = 'F' THEN 0 ELSE greatest(1000 - o_custkey, 0) END AS BIGINT) AS left_bytes FROM orders""")
+def transfer_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges and what is left to send, with orders as uploads."""
+    o = table(spark, sf_dir, "orders")
+    state = locators.remote_state(F.when(F.col("o_orderstatus") == "F", 200).when(F.col("o_orderstatus") == "O", 206).otherwise(404))
+    return o.select(
+        "o_orderkey", locators.byte_range(F.col("o_orderkey"), F.col("o_orderkey") + F.col("o_custkey") + 1).alias("byte_range"),
+        state.alias("state"), locators.left_to_push(F.lit(1000), F.col("o_custkey"), state).alias("left_bytes"),
+    )
+
+
+@query("""WITH l AS (SELECT doc_id AS name, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS size, sha256(coalesce(text, '')) AS content FROM documents WHERE doc_id % 4 <> 0),
+r AS (SELECT doc_id AS name, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS size, sha256(coalesce(text, '')) AS content FROM documents)
+SELECT r.name, l.size IS NULL OR l.size <> r.size OR l.content <> r.content AS better FROM r LEFT JOIN l ON l.name = r.name""")
+def remote_is_better(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as local and remote files: a quarter is absent here, a fifth differs in size."""
+    f = files(spark, sf_dir).select(F.col("doc_id").alias("name"), F.length("content").cast("bigint").alias("size"), F.sha2("content", 256).alias("content"))
+    remote = f.withColumn("size", F.col("size") + F.when(F.col("name") % 5 == 0, 1).otherwise(0))
+    return pkg.remote_is_better(f.where("name % 4 <> 0"), remote).select("name", "better")
+
+
+@query("""WITH c AS (SELECT doc_id, 'did:x' AS curator, 'sha256:' || sha256(coalesce(text, '')) AS id FROM documents),
+p AS (SELECT l.doc_id, '{"content_id":"' || id || '","curator":"did:x","exp":' || (31104000 + l.doc_id) || ',"iat":' || l.doc_id || ',"rank":' || (quality * 100) || '}' AS j FROM labels l JOIN c ON c.doc_id = l.doc_id)
+SELECT doc_id, 'cyinc:' || sha256(j) AS obj_id FROM p""")
+def inclusion_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as inclusion proofs of documents, ranked by quality."""
+    c = files(spark, sf_dir).select("doc_id", hashing.chunk_id(F.col("content")).alias("id"))
+    text = objects.inclusion_proof(F.col("id"), F.lit("did:x"), F.col("quality") * 100, F.col("doc_id"))
+    return table(spark, sf_dir, "labels").join(c, "doc_id").select("doc_id", objects.object_id(ids.PROOF, text).alias("obj_id"))
+
+
+@query("""SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS chunk_size, 'completed' AS chunk_state FROM
+(SELECT *, row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id) AS r FROM documents) WHERE r = 1""")
+def chunk_put(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents put as chunks: copies go in once; the path tells which row was kept."""
+    from ..sources import store
+
+    rows = files(spark, sf_dir).select(
+        hashing.chunk_id(F.col("content")).alias("chunk_id"), F.length("content").cast("bigint").alias("chunk_size"), F.lit("new").alias("chunk_state"), F.lit(None).cast("string").alias("local_path"),
+        F.lit(None).cast("string").alias("progress"), F.col("doc_id").alias("update_time"), F.col("content").alias("payload"),
+    )
+    return store.put_chunks(rows.where("false"), rows).select(F.col("update_time").alias("doc_id"), "chunk_size", "chunk_state")
