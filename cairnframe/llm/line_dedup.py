@@ -29,34 +29,48 @@ empty table gives an empty table; other columns pass through.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._common import materialize, scratch, words
 
 PERCENT = 80
 BUCKETS = 1 << 16
-DENSE = 32
-LEADERS = 4
+DENSE = 256
+LEADERS = 3
+
+
+def _constant(values: list[int]) -> Column:
+    """A constant array of numbers; the optimizer folds the cast."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
 def _levels(docs: DataFrame, text: str) -> Column:
-    """A constant of one byte a bucket of words: twice the binary logarithm of its count.
+    """One number a bucket of words: twice the binary logarithm of its count, in the top bits of a key.
 
-    The table has ``BUCKETS`` bytes whatever the corpus holds.
+    The table has ``BUCKETS`` entries whatever the corpus holds.
     """
-    counts = docs.select(F.explode(words(F.col(text))).alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("bucket")).count()
-    table = bytearray(BUCKETS)
+    counts = docs.select(F.explode(words(F.col(text))).alias("w")).groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).count()
+    table = [0] * BUCKETS
     for r in counts.select("bucket", F.floor(2 * F.log2(F.col("count").cast("double"))).cast("int").alias("level")).toLocalIterator():
-        table[r.bucket] = min(r.level, 126)
-    return F.lit(bytes(table))
+        table[r.bucket] = min(r.level, 126) << 56
+    return _constant(table)
 
 
 def _keys(line: Column, levels: Column) -> Column:
     """The distinct words of a line as sortable numbers, rarest first."""
-    tokens = F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w)))
-    level = lambda h: F.ascii(F.substring(levels, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
-    return F.sort_array(F.transform(tokens, lambda h: F.shiftleft(level(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
+    tokens = F.array_distinct(F.transform(_line_words(line), lambda w: F.xxhash64(w)))
+    level = lambda h: F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+    return F.sort_array(F.transform(tokens, lambda h: level(h).bitwiseOR(F.shiftrightunsigned(h, 8))))
+
+
+def _line_words(line: Column) -> Column:
+    """The words of a line: most lines hold no white space but spaces, and need no regular expression."""
+    return F.when(line.rlike(r"[\x09-\x0D]"), words(line)).otherwise(F.array_remove(F.split(line, " ", -1), ""))
+
+
+def _parity(keys: Column) -> Column:
+    """64 bits, each the parity of the words that fall on it: sets that differ in d words differ in at most d bits."""
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def _least(n: Column, percent: int) -> Column:
@@ -65,18 +79,19 @@ def _least(n: Column, percent: int) -> Column:
 
 
 def lines_of(docs: DataFrame, levels: Column, percent: int = PERCENT, text: str = "text") -> DataFrame:
-    """doc_id, line_no, id (of the set), n (its size) and prefix, for lines with a word."""
+    """doc_id, line_no, id (of the set), n (its size), parity and prefix, for lines with a word."""
     split = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("line_no", "line"))
     keyed = split.withColumn("keys", _keys(F.col("line"), levels)).where(F.size("keys") > 0)
     n = F.size("keys")
-    return keyed.select("doc_id", "line_no", F.xxhash64("keys").alias("id"), n.alias("n"), F.slice("keys", F.lit(1), n - _least(n, percent) + 1).alias("prefix"))
+    return keyed.select("doc_id", "line_no", F.xxhash64("keys").alias("id"), n.alias("n"), _parity(F.col("keys")).alias("parity"), F.slice("keys", F.lit(1), n - _least(n, percent) + 1).alias("prefix"))
 
 
 def _may(a: str, b: str, percent: int) -> Column:
-    """Whether sizes, and positions at the first shared word, allow the similarity."""
+    """Whether sizes, positions at the first shared word, and parities allow the similarity."""
     n, m, i, j = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.i"), F.col(f"{b}.i")
     overlap = F.least(n - i, m - j) * (100 + percent) >= (n + m) * percent
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & overlap
+    apart = F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity"))) * (100 + percent) <= (n + m) * (100 - percent)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & overlap & apart
 
 
 def _before(a: str, b: str) -> Column:
@@ -86,55 +101,106 @@ def _before(a: str, b: str) -> Column:
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Ids of the later sets of pairs (first, later) that are similar."""
-    left = sets.select(F.col("id").alias("first"), F.col("keys").alias("x"))
-    right = sets.select(F.col("id").alias("later"), F.col("keys").alias("y"))
+    left, right = sets.select(F.col("id").alias("first"), F.col("keys").alias("x")), sets.select(F.col("id").alias("later"), F.col("keys").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     return pairs.join(left, "first").join(right, "later").where(
         common * 100 >= (F.size("x") + F.size("y") - common) * percent
     ).select(F.col("later").alias("id")).distinct()
 
 
+def _removed(pairs: DataFrame, places: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Ids of sets that are similar to an earlier one, from unordered candidate pairs (x, y).
+
+    One similar earlier set decides. So each set first meets a few of its
+    candidates, the earliest of each salt; only those still undecided meet the
+    rest. In a group of near copies, few are.
+    """
+    at = lambda i, name: places.select(F.col("id").alias(i), F.struct("doc_id", "line_no").alias(name))
+    both = pairs.join(at("x", "px"), "x").join(at("y", "py"), "y").where("px <> py")
+    before = F.col("px") < F.col("py")
+    ordered = both.select(F.when(before, F.col("x")).otherwise(F.col("y")).alias("first"), F.when(before, F.col("y")).otherwise(F.col("x")).alias("later"), F.least("px", "py").alias("place"))
+    ordered = materialize(ordered, "line-ordered")
+    few = ordered.groupBy("later", F.pmod("first", F.lit(LEADERS)).alias("salt")).agg(F.min(F.struct("place", "first")).alias("f")).select(F.col("f.first").alias("first"), "later")
+    found = materialize(_verified(few, sets, percent), "line-removed")
+    rest = ordered.select("first", "later").join(found, F.col("later") == F.col("id"), "left_anti").join(few, ["first", "later"], "left_anti")
+    return materialize(found.unionByName(_verified(rest, sets, percent)).distinct(), "line-removed")
+
+
+def _crowded(posted: DataFrame) -> Column:
+    """Whether a word's bucket holds so many postings that the word may be dense.
+
+    A word outside such a bucket has at most the limit, four times the mean of
+    the fixed number of buckets, or ``DENSE`` if that is more.
+    """
+    counts = posted.groupBy(F.pmod("token", F.lit(BUCKETS)).cast("int").alias("bucket")).count()
+    table, found = [0] * BUCKETS, {r.bucket: r["count"] for r in counts.toLocalIterator()}
+    limit = max(DENSE, 4 * sum(found.values()) // BUCKETS)
+    for bucket, n in found.items():
+        table[bucket] = int(n > limit)
+    return F.get(_constant(table), F.pmod("token", F.lit(BUCKETS)).cast("int")) == 1
+
+
+def _full_sets(docs: DataFrame, places: DataFrame, levels: Column, text: str) -> DataFrame:
+    """(id, doc_id, line_no, keys) of the sets with places (id, doc_id, line_no), from the texts there.
+
+    A table of fixed size of the documents' hashes keeps most other texts out of the shuffle.
+    """
+    size = 1 << 18
+    table = bytearray(size)
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(size)).cast("int")
+    for r in places.select(bucket("doc_id").alias("b")).distinct().toLocalIterator():
+        table[r.b] = 1
+    by_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "id")).alias("places"))
+    whole = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("__text"))
+    whole = whole.where(F.substring(F.lit(bytes(table)), bucket("doc_id") + 1, F.lit(1)) == F.lit(b"\x01"))
+    rows = whole.join(by_doc.hint("merge"), "doc_id").withColumn("__lines", F.split("__text", "\n", -1)).select("doc_id", "__lines", F.explode("places").alias("p"))
+    return rows.select(F.col("p.id").alias("id"), "doc_id", F.col("p.line_no").alias("line_no"), _keys(F.get("__lines", F.col("p.line_no")), levels).alias("keys")).where(
+        F.xxhash64("keys") == F.col("id")
+    )
+
+
 def repeats(docs: DataFrame, percent: int = PERCENT, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """All lines with a word (doc_id, line_no, id), and those of them to remove (doc_id, line_no)."""
     levels = _levels(docs, text)
     lines = materialize(lines_of(docs, levels, percent, text), "line-sets")
-    first = lines.groupBy("id").agg(F.min(F.struct("doc_id", "line_no", "n", "prefix")).alias("f"), F.count(F.lit(1)).alias("copies"))
-    posted = first.select("id", "f.doc_id", "f.line_no", "f.n", F.posexplode("f.prefix").alias("i", "token"))
-    # The count of a word's lines decides how they meet; a word of one line meets nothing.
-    met = posted.withColumn("lines", F.count(F.lit(1)).over(W.partitionBy("token"))).where("lines > 1")
-    met = materialize(met, "line-met")
-    sparse = met.where(F.col("lines") <= DENSE)
-    pairs = sparse.alias("a").join(sparse.alias("b"), (F.col("a.token") == F.col("b.token")) & _may("a", "b", percent) & _before("a", "b")).select(
-        F.col("a.id").alias("first"), F.col("b.id").alias("later")
-    )
-    held = met.where(F.col("lines") > DENSE).groupBy("id", "doc_id", "line_no", "n").agg(F.collect_list(F.struct("i", "token")).alias("all"))
-    dense = held.select("id", "doc_id", "line_no", "n", "all", F.explode("all").alias("p")).select(
-        "id", "doc_id", "line_no", "n", F.col("p.i").alias("i"), F.col("p.token").alias("token"),
+    first = lines.groupBy("id").agg(F.min(F.struct("doc_id", "line_no", "n", "parity", "prefix")).alias("f"), F.count(F.lit(1)).alias("copies"))
+    first = materialize(first.select("id", "copies", "f.*"), "line-first")
+    posted = first.select("id", "n", "parity", F.posexplode("prefix").alias("i", "token"))
+    crowded = _crowded(posted)
+    meets = (F.col("a.token") == F.col("b.token")) & _may("a", "b", percent)
+
+    def pairs_of(rows: DataFrame) -> DataFrame:
+        return rows.alias("a").join(rows.alias("b").hint("merge"), meets & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
+
+    # Words in crowded buckets are counted one by one; few of them are dense.
+    crowd = first.select("id", "doc_id", "line_no", "n", "parity", F.posexplode("prefix").alias("i", "token")).where(crowded)
+    counts = crowd.groupBy("token").count().where("count > 1")
+    crowd = materialize(crowd.join(counts, "token"), "line-crowd")
+    pairs = pairs_of(posted.where(~crowded)).unionByName(pairs_of(crowd.where(F.col("count") <= DENSE)))
+
+    held = crowd.where(F.col("count") > DENSE).groupBy("id", "doc_id", "line_no", "n", "parity").agg(F.collect_list(F.struct("i", "token")).alias("all"))
+    dense = held.select("id", "doc_id", "line_no", "n", "parity", "all", F.explode("all").alias("p")).select(
+        "id", "doc_id", "line_no", "n", "parity", F.col("p.i").alias("i"), F.col("p.token").alias("token"),
         F.expr("transform(filter(all, x -> x.i < p.i), x -> x.token)").alias("before"),
     )
     dense = materialize(dense, "line-dense")
-    fresh = ~F.arrays_overlap("a.before", "b.before")
-    meets = (F.col("a.token") == F.col("b.token")) & _may("a", "b", percent) & _before("a", "b") & fresh
-    lead = dense.groupBy("token", F.pmod(F.xxhash64("id"), F.lit(LEADERS)).alias("salt")).agg(F.min(F.struct("doc_id", "line_no", "id", "n", "i", "before")).alias("f")).select("token", "f.*")
-    led = lead.alias("a").join(dense.alias("b"), meets).select(F.col("a.id").alias("first"), F.col("b.id").alias("later"))
+    fresh = meets & _before("a", "b") & ~F.arrays_overlap("a.before", "b.before")
+    lead = dense.groupBy("token", F.pmod(F.xxhash64("id"), F.lit(LEADERS)).alias("salt")).agg(
+        F.min(F.struct("doc_id", "line_no", "id", "n", "parity", "i", "before")).alias("f")).select("token", "f.*")
+    led = lead.alias("a").join(dense.alias("b"), fresh).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
     pairs = materialize(pairs.unionByName(led).distinct(), "line-pairs")
 
     # Full sets of the lines that take part, from the texts at their first places.
-    wanted = pairs.select(F.explode(F.array("first", "later")).alias("id")).unionByName(dense.select("id")).distinct()
-    places = met.select("id", "doc_id", "line_no").distinct().join(wanted, "id", "left_semi")
-    by_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "id")).alias("places"))
-    whole = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("__text"))
-    sets = whole.join(by_doc, "doc_id").withColumn("__lines", F.split("__text", "\n", -1)).select("__lines", F.explode("places").alias("p")).select(
-        F.col("p.id").alias("id"), _keys(F.get("__lines", F.col("p.line_no")), levels).alias("keys")
-    ).where(F.xxhash64("keys") == F.col("id")).dropDuplicates(["id"])
-    sets = materialize(sets, "line-full")
-    removed = materialize(_verified(pairs, sets, percent), "line-removed")
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("id")).unionByName(dense.select("id")).distinct()
+    places = materialize(first.select("id", "doc_id", "line_no").join(wanted, "id", "left_semi"), "line-places")
+    sets = materialize(_full_sets(docs, places, levels, text), "line-full")
+    removed = _removed(pairs, places, sets, percent)
     rest = dense.join(removed, "id", "left_anti")
-    more = dense.alias("a").join(rest.alias("b"), meets).select(F.col("a.id").alias("first"), F.col("b.id").alias("later")).distinct()
-    removed = removed.unionByName(_verified(more.join(pairs, ["first", "later"], "left_anti"), sets, percent)).distinct()
+    more = dense.alias("a").join(rest.alias("b"), fresh).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
+    removed = removed.unionByName(_removed(more.join(pairs, ["x", "y"], "left_anti"), places, sets, percent)).distinct()
 
     # A line goes if its set is similar to an earlier one, or if it is not the first of its set.
-    known = first.where("copies > 1").select("id", "f.doc_id", "f.line_no", F.lit(False).alias("similar")).unionByName(
+    known = first.where("copies > 1").select("id", "doc_id", "line_no", F.lit(False).alias("similar")).unionByName(
         removed.select("id", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("int").alias("line_no"), F.lit(True).alias("similar"))
     ).groupBy("id").agg(F.max("similar").alias("similar"), F.max("doc_id").alias("d"), F.max("line_no").alias("l"))
     gone = lines.select("doc_id", "line_no", "id").join(known, "id").where("similar OR doc_id <> d OR line_no <> l").select("doc_id", "line_no").distinct()
