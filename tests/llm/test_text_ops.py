@@ -120,6 +120,11 @@ def test_page_text(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_chrome_names():
+    assert html_text.blocks('<main class="with-sidebar">a<div class="reader-comments">no</div><section id=share_bar>no</section></main><div>b') == (["a"], False)
+    assert html_text.blocks('<div class="has-sidebar"><p>a<div class="sidebar">no</div></div>') == (["a"], True)
+
+
 def test_repeated_runs_by_brute_force(spark):
     rng = np.random.default_rng(3)
     token = lambda n: [f"t{x}" for x in rng.integers(0, 40, n)]
