@@ -29,8 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = sides.join(least, "u").where("v > u AND v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large.where("u <> v"), "cc-large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        e = materialize(small.select("x.u", "x.v").where("u <> v").distinct(), "cc-small")
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        e = materialize(small.where("u <> v").distinct(), "cc-small")
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
         if now == state or not now[0]:
             break

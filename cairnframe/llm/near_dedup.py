@@ -218,9 +218,8 @@ def _near_duplicates(docs: DataFrame, shingle: int, percent: int, text: str, doc
     sets = materialize(full_sets(docs, nodes, text, doc_id, shingle), "near-sets")
     links = materialize(confirm(pairs, sets, percent), "near-links")
     found = materialize(components(links), "near-components")
-    more = apart(pairs, found, sets, percent)
-    links = links.unionByName(more)
-    found = components(links)
+    if not pairs.where("dense").isEmpty():
+        found = joined(found, materialize(apart(pairs, found, sets, percent), "near-more"))
     known = classes.select("set_hash", F.col("doc_id").alias("node")).join(found, "node", "left").select(
         "set_hash", F.coalesce("component", "node").alias("component_id")
     )
@@ -229,13 +228,23 @@ def _near_duplicates(docs: DataFrame, shingle: int, percent: int, text: str, doc
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def joined(found: DataFrame, more: DataFrame) -> DataFrame:
+    """Components (node, component) after further links (a, b): only the components that they join are looked at."""
+    ends = more.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    every = found.unionByName(ends.join(found, "node", "left_anti").select("node", F.col("node").alias("component")))
+    of = lambda side: every.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+    upper = components(more.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    above = upper.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    return every.join(above, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+
+
 def apart(pairs: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between classes of a dense region that lie in different components.
 
     A region is a component of the candidate pairs it gave. Its classes outside
     its largest component are packed in blocks, and so are all its classes; a
     block of the first kind meets every block of the second kind, as rows of
-    packed sets, and only links come out.
+    packed sets, and one link a class and component comes out.
     """
     region = components(pairs.select("a", "b")).withColumnRenamed("component", "region")
     dense = region.join(pairs.where("dense").select(F.col("a").alias("node")).distinct(), "node").select("region").distinct()
@@ -311,7 +320,9 @@ def block_links(r, percent: int) -> list[tuple[int, int]]:
         high = min(low + 8192, len(shared))
         common += (incidence(x, s1, low, high) @ incidence(y, s2, low, high).T).astype(np.int32)
     ok = (100 * common >= percent * (s1[:, None] + s2[None, :] - common)) & (p1[:, None] != p2[None, :])
-    return [(int(n1[i]), int(n2[j])) for i, j in zip(*np.nonzero(ok), strict=True)]
+    # One link from a class to each component it meets joins the same components as all of them.
+    links = {(int(n1[i]), int(p2[j])): int(n2[j]) for i, j in zip(*np.nonzero(ok), strict=True)}
+    return [(i, j) for (i, _), j in links.items()]
 
 
 def first_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
