@@ -36,6 +36,9 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Spark deletes a query's shuffle files when it ends.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Paths written inside each open ``scratch`` block, innermost last.
 _OPEN: list[list[str]] = []
 
@@ -49,7 +52,13 @@ def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    # What a finished job shuffled is not read again, since its result is a file.
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
     if _OPEN and not keep:
         _OPEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -37,6 +37,8 @@ PERCENT = 80
 BUCKETS = 1 << 16
 DENSE = 256
 LEADERS = 3
+#: Words of the wide parity, a power of two.
+WIDE = 4
 
 
 def _constant(values: list[int]) -> Column:
@@ -73,6 +75,11 @@ def _parity(keys: Column) -> Column:
     return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
 
 
+def _wide_parity(keys: Column, part: int) -> Column:
+    """Part of a parity of ``WIDE`` times 64 bits."""
+    return _parity(F.filter(keys, lambda k: F.shiftrightunsigned(k, 6).bitwiseAND(F.lit(WIDE - 1)) == part))
+
+
 def _least(n: Column, percent: int) -> Column:
     """ceil(percent n / 100), in integers."""
     return F.floor((n * percent + 99) / 100).cast("int")
@@ -81,7 +88,8 @@ def _least(n: Column, percent: int) -> Column:
 def lines_of(docs: DataFrame, levels: Column, percent: int = PERCENT, text: str = "text") -> DataFrame:
     """doc_id, line_no, id (of the set), n (its size), parity and prefix, for lines with a word."""
     split = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("line_no", "line"))
-    keyed = split.withColumn("keys", _keys(F.col("line"), levels)).where(F.size("keys") > 0)
+    # The filter names the line, not its keys: it would else compute them a second time below.
+    keyed = split.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("keys", _keys(F.col("line"), levels))
     n = F.size("keys")
     return keyed.select("doc_id", "line_no", F.xxhash64("keys").alias("id"), n.alias("n"), _parity(F.col("keys")).alias("parity"), F.slice("keys", F.lit(1), n - _least(n, percent) + 1).alias("prefix"))
 
@@ -115,8 +123,14 @@ def _removed(pairs: DataFrame, places: DataFrame, sets: DataFrame, percent: int)
     candidates, the earliest of each salt; only those still undecided meet the
     rest. In a group of near copies, few are.
     """
-    at = lambda i, name: places.select(F.col("id").alias(i), F.struct("doc_id", "line_no").alias(name))
-    both = pairs.join(at("x", "px"), "x").join(at("y", "py"), "y").where("px <> py")
+    # Wider parities first: most pairs that the narrow ones let through end here, without their sets.
+    wide = sets.select("id", F.size("keys").alias("n"), *[_wide_parity(F.col("keys"), k).alias(f"w{k}") for k in range(WIDE)]).dropDuplicates(["id"])
+    info = places.select("id", F.struct("doc_id", "line_no").alias("p")).join(wide, "id")
+    at = lambda i: info.select(F.col("id").alias(i), *[F.col(c).alias(f"{i}_{c}") for c in ("p", "n", *(f"w{k}" for k in range(WIDE)))])
+    apart = sum((F.bit_count(F.col(f"x_w{k}").bitwiseXOR(F.col(f"y_w{k}"))) for k in range(1, WIDE)), F.bit_count(F.col("x_w0").bitwiseXOR(F.col("y_w0"))))
+    both = pairs.join(at("x"), "x").join(at("y"), "y").where(
+        (F.col("x_p") != F.col("y_p")) & (apart * (100 + percent) <= (F.col("x_n") + F.col("y_n")) * (100 - percent))
+    ).select("x", "y", F.col("x_p").alias("px"), F.col("y_p").alias("py"))
     before = F.col("px") < F.col("py")
     ordered = both.select(F.when(before, F.col("x")).otherwise(F.col("y")).alias("first"), F.when(before, F.col("y")).otherwise(F.col("x")).alias("later"), F.least("px", "py").alias("place"))
     ordered = materialize(ordered, "line-ordered")
@@ -141,7 +155,7 @@ def _crowded(posted: DataFrame) -> Column:
 
 
 def _full_sets(docs: DataFrame, places: DataFrame, levels: Column, text: str) -> DataFrame:
-    """(id, doc_id, line_no, keys) of the sets with places (id, doc_id, line_no), from the texts there.
+    """(id, keys) of the sets with places (id, doc_id, line_no), from the texts there.
 
     A table of fixed size of the documents' hashes keeps most other texts out of the shuffle.
     """
@@ -154,9 +168,8 @@ def _full_sets(docs: DataFrame, places: DataFrame, levels: Column, text: str) ->
     whole = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("__text"))
     whole = whole.where(F.substring(F.lit(bytes(table)), bucket("doc_id") + 1, F.lit(1)) == F.lit(b"\x01"))
     rows = whole.join(by_doc.hint("merge"), "doc_id").withColumn("__lines", F.split("__text", "\n", -1)).select("doc_id", "__lines", F.explode("places").alias("p"))
-    return rows.select(F.col("p.id").alias("id"), "doc_id", F.col("p.line_no").alias("line_no"), _keys(F.get("__lines", F.col("p.line_no")), levels).alias("keys")).where(
-        F.xxhash64("keys") == F.col("id")
-    )
+    # A repeated doc_id may have another text at the place; the set then goes under its own id.
+    return rows.select(_keys(F.get("__lines", F.col("p.line_no")), levels).alias("keys")).select(F.xxhash64("keys").alias("id"), "keys")
 
 
 def repeats(docs: DataFrame, percent: int = PERCENT, text: str = "text") -> tuple[DataFrame, DataFrame]:
