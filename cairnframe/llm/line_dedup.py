@@ -5,8 +5,8 @@ A line is its set of words. It is removed when an earlier line, in the order of
 earlier line counts even if it is removed itself, so the result depends on no
 order of processing.
 
-1. Word counts, in a table of fixed size (``BUCKETS``), give each word a rarity
-   level. A line's words, as 56-bit hashes under their level, sort rarest first.
+1. Word counts, in a table of fixed size (``BUCKETS`` bytes), give each word a
+   rarity level. A line's words, as 56-bit hashes under their level, sort rarest first.
 2. Lines with equal sets collapse to their first place by partial aggregation:
    a line that a third of all documents share goes on as one row.
 3. Two similar lines share a word among the first n - ceil(t n) + 1 of each.
@@ -34,37 +34,49 @@ from pyspark.sql import functions as F
 from ._common import materialize, scratch, words
 
 PERCENT = 80
-BUCKETS = 1 << 16
+#: Buckets of words whose counts tell how rare a word is; one byte each.
+BUCKETS = 1 << 20
+#: Buckets of postings that tell which words may be dense.
+CROWDS = 1 << 16
 DENSE = 256
 LEADERS = 3
 #: Words of the wide parity, a power of two.
 WIDE = 4
 
 
-def _constant(values: list[int]) -> Column:
-    """A constant array of numbers; the optimizer folds the cast."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+def _byte(table: bytes, at: Column) -> Column:
+    """The number, at most 127, that a constant table holds at a place."""
+    return F.ascii(F.substring(F.lit(table), at.cast("int") + 1, F.lit(1)).cast("string"))
 
 
-def _levels(docs: DataFrame, text: str) -> Column:
-    """One number a bucket of words: twice the binary logarithm of its count, in the top bits of a key.
+def _levels(docs: DataFrame, text: str) -> bytes:
+    """One number a bucket of words: twice the binary logarithm of its count.
 
-    The table has ``BUCKETS`` entries whatever the corpus holds.
+    The table has ``BUCKETS`` bytes whatever the corpus holds. It comes to the
+    driver in pieces of 1024 buckets.
     """
-    counts = docs.select(F.explode(words(F.col(text))).alias("w")).groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).count()
-    table = [0] * BUCKETS
-    for r in counts.select("bucket", F.floor(2 * F.log2(F.col("count").cast("double"))).cast("int").alias("level")).toLocalIterator():
-        table[r.bucket] = min(r.level, 126) << 56
-    return _constant(table)
+    spark = docs.sparkSession
+    buckets = docs.select(F.explode(_text_words(F.coalesce(F.col(text), F.lit("")))).alias("w")).select(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket"))
+    every = spark.range(0, BUCKETS, 1, 4).select(F.col("id").cast("int").alias("bucket"))
+    counts = materialize(buckets.unionByName(every).groupBy("bucket").count(), "line-counts")
+    level = F.least(F.floor(2 * F.log2(F.col("count").cast("double"))) + 1, F.lit(126)).cast("int")
+    piece = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", level.alias("level")))), lambda x: F.char(x["level"])), "")
+    pieces = counts.groupBy(F.shiftright("bucket", 10).alias("piece")).agg(piece.alias("levels"))
+    return "".join(levels for _, levels in sorted(pieces.collect())).encode()
 
 
-def _keys(line: Column, levels: Column) -> Column:
+def _keys(line: Column, levels: bytes) -> Column:
     """The distinct words of a line as sortable numbers, rarest first."""
     tokens = F.array_distinct(F.transform(_line_words(line), lambda w: F.xxhash64(w)))
-    level = lambda h: F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+    level = lambda h: F.shiftleft(_byte(levels, h.bitwiseAND(F.lit(BUCKETS - 1))).cast("long"), 56)
     return F.sort_array(F.transform(tokens, lambda h: level(h).bitwiseOR(F.shiftrightunsigned(h, 8))))
 
 
+def _text_words(text: Column) -> Column:
+    """The words of a text: most hold no white space but spaces and ends of lines, and need no regular expression."""
+    return F.when(text.rlike(r"[\x09\x0B-\x0D]"), words(text)).otherwise(F.array_remove(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " ", -1), ""))
+
+
 def _line_words(line: Column) -> Column:
     """The words of a line: most lines hold no white space but spaces, and need no regular expression."""
     return F.when(line.rlike(r"[\x09-\x0D]"), words(line)).otherwise(F.array_remove(F.split(line, " ", -1), ""))
@@ -85,7 +97,7 @@ def _least(n: Column, percent: int) -> Column:
     return F.floor((n * percent + 99) / 100).cast("int")
 
 
-def lines_of(docs: DataFrame, levels: Column, percent: int = PERCENT, text: str = "text") -> DataFrame:
+def lines_of(docs: DataFrame, levels: bytes, percent: int = PERCENT, text: str = "text") -> DataFrame:
     """doc_id, line_no, id (of the set), n (its size), parity and prefix, for lines with a word."""
     split = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("line_no", "line"))
     # The filter names the line, not its keys: it would else compute them a second time below.
@@ -116,7 +128,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ).select(F.col("later").alias("id")).distinct()
 
 
-def _removed(pairs: DataFrame, places: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _about(places: DataFrame, sets: DataFrame) -> DataFrame:
+    """Place, size and wide parity of each set that takes part."""
+    wide = sets.select("id", F.size("keys").alias("n"), *[_wide_parity(F.col("keys"), k).alias(f"w{k}") for k in range(WIDE)]).dropDuplicates(["id"])
+    return materialize(places.select("id", F.struct("doc_id", "line_no").alias("p")).join(wide, "id"), "line-about")
+
+
+def _removed(pairs: DataFrame, info: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Ids of sets that are similar to an earlier one, from unordered candidate pairs (x, y).
 
     One similar earlier set decides. So each set first meets a few of its
@@ -124,8 +142,6 @@ def _removed(pairs: DataFrame, places: DataFrame, sets: DataFrame, percent: int)
     rest. In a group of near copies, few are.
     """
     # Wider parities first: most pairs that the narrow ones let through end here, without their sets.
-    wide = sets.select("id", F.size("keys").alias("n"), *[_wide_parity(F.col("keys"), k).alias(f"w{k}") for k in range(WIDE)]).dropDuplicates(["id"])
-    info = places.select("id", F.struct("doc_id", "line_no").alias("p")).join(wide, "id")
     at = lambda i: info.select(F.col("id").alias(i), *[F.col(c).alias(f"{i}_{c}") for c in ("p", "n", *(f"w{k}" for k in range(WIDE)))])
     apart = sum((F.bit_count(F.col(f"x_w{k}").bitwiseXOR(F.col(f"y_w{k}"))) for k in range(1, WIDE)), F.bit_count(F.col("x_w0").bitwiseXOR(F.col("y_w0"))))
     both = pairs.join(at("x"), "x").join(at("y"), "y").where(
@@ -146,15 +162,15 @@ def _crowded(posted: DataFrame) -> Column:
     A word outside such a bucket has at most the limit, four times the mean of
     the fixed number of buckets, or ``DENSE`` if that is more.
     """
-    counts = posted.groupBy(F.pmod("token", F.lit(BUCKETS)).cast("int").alias("bucket")).count()
-    table, found = [0] * BUCKETS, {r.bucket: r["count"] for r in counts.toLocalIterator()}
-    limit = max(DENSE, 4 * sum(found.values()) // BUCKETS)
+    counts = posted.groupBy(F.pmod("token", F.lit(CROWDS)).cast("int").alias("bucket")).count()
+    table, found = bytearray(CROWDS), {r.bucket: r["count"] for r in counts.toLocalIterator()}
+    limit = max(DENSE, 4 * sum(found.values()) // CROWDS)
     for bucket, n in found.items():
         table[bucket] = int(n > limit)
-    return F.get(_constant(table), F.pmod("token", F.lit(BUCKETS)).cast("int")) == 1
+    return _byte(bytes(table), F.pmod("token", F.lit(CROWDS))) == 1
 
 
-def _full_sets(docs: DataFrame, places: DataFrame, levels: Column, text: str) -> DataFrame:
+def _full_sets(docs: DataFrame, places: DataFrame, levels: bytes, text: str) -> DataFrame:
     """(id, keys) of the sets with places (id, doc_id, line_no), from the texts there.
 
     A table of fixed size of the documents' hashes keeps most other texts out of the shuffle.
@@ -207,10 +223,11 @@ def repeats(docs: DataFrame, percent: int = PERCENT, text: str = "text") -> tupl
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("id")).unionByName(dense.select("id")).distinct()
     places = materialize(first.select("id", "doc_id", "line_no").join(wanted, "id", "left_semi"), "line-places")
     sets = materialize(_full_sets(docs, places, levels, text), "line-full")
-    removed = _removed(pairs, places, sets, percent)
+    info = _about(places, sets)
+    removed = _removed(pairs, info, sets, percent)
     rest = dense.join(removed, "id", "left_anti")
     more = dense.alias("a").join(rest.alias("b"), fresh).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
-    removed = removed.unionByName(_removed(more.join(pairs, ["x", "y"], "left_anti"), places, sets, percent)).distinct()
+    removed = removed.unionByName(_removed(more.join(pairs, ["x", "y"], "left_anti"), info, sets, percent)).distinct()
 
     # A line goes if its set is similar to an earlier one, or if it is not the first of its set.
     known = first.where("copies > 1").select("id", "doc_id", "line_no", F.lit(False).alias("similar")).unionByName(
