@@ -35,10 +35,10 @@ from ._common import materialize, scratch, words
 
 PERCENT = 80
 #: Buckets of words whose counts tell how rare a word is; one byte each.
-BUCKETS = 1 << 20
+BUCKETS = 1 << 18
 #: Buckets of postings that tell which words may be dense.
-CROWDS = 1 << 16
-DENSE = 256
+CROWDS = 1 << 18
+DENSE = 64
 LEADERS = 3
 #: Words of the wide parity, a power of two.
 WIDE = 4
@@ -162,12 +162,14 @@ def _crowded(posted: DataFrame) -> Column:
     A word outside such a bucket has at most the limit, four times the mean of
     the fixed number of buckets, or ``DENSE`` if that is more.
     """
-    counts = posted.groupBy(F.pmod("token", F.lit(CROWDS)).cast("int").alias("bucket")).count()
-    table, found = bytearray(CROWDS), {r.bucket: r["count"] for r in counts.toLocalIterator()}
-    limit = max(DENSE, 4 * sum(found.values()) // CROWDS)
-    for bucket, n in found.items():
-        table[bucket] = int(n > limit)
-    return _byte(bytes(table), F.pmod("token", F.lit(CROWDS))) == 1
+    bucket = F.pmod("token", F.lit(CROWDS))
+    counts = materialize(posted.groupBy(bucket.cast("int").alias("bucket")).count(), "line-crowds")
+    limit = max(DENSE, 4 * (counts.agg(F.sum("count")).first()[0] or 0) // CROWDS)
+    # Four buckets a byte. At most a quarter of the buckets can be over four times the mean.
+    table = bytearray(CROWDS // 4)
+    for r in counts.where(F.col("count") > limit).select("bucket").toLocalIterator():
+        table[r.bucket // 4] |= 1 << r.bucket % 4
+    return F.getbit(_byte(bytes(table), F.shiftright(bucket, 2)), bucket.bitwiseAND(F.lit(3)).cast("int")) == 1
 
 
 def _full_sets(docs: DataFrame, places: DataFrame, levels: bytes, text: str) -> DataFrame:
