@@ -9,14 +9,17 @@
    ``DEPTH`` values. Neighbours that share the first ``ROOT`` values are
    candidates: every pair of a region of at most ``NEAR`` + 1 classes, and in a
    denser region, where longer common prefixes lie side by side, the ``NEAR``
-   nearest on either side, so depth adapts to the region.
+   nearest on either side, so depth adapts to the region. These links come
+   first; step 6 sees to the rest of a dense region.
 4. Confirmation on full sets, in exact integers. A pair whose sizes cannot
    reach the threshold, or whose sketched similarity is more than five standard
    errors below it, is not read.
 5. Components of the confirmed links.
-6. Dense regions again. A neighbour limit can leave a link unseen there, so
-   classes of dense regions that stand apart from their region's main component
-   are compared, in blocks and on full sets, with all the region's classes.
+6. Dense regions again. A neighbour limit can leave a link unseen there, so in
+   every root with more classes than that, the classes outside the root's main
+   component meet all of its classes, in blocks of two-bit marks. Components
+   between which a pair could reach the threshold are then compared, in blocks
+   and on full sets. No pair that shares a root is left out.
 
 Defined results: a null, empty or blank text has an empty set, is linked with
 nothing and is its own component; fewer words than a shingle count as one
@@ -43,11 +46,9 @@ TREES = 16
 DEPTH = 6
 ROOT = 3
 NEAR = 5
-#: Most of the signature's values whose two-bit marks may differ for a pair to be
-#: read: at 0.8 a value differs with probability 0.15, and five standard errors are added.
-MOST_UNLIKE = int(TREES * DEPTH * 0.15 + 5 * (TREES * DEPTH * 0.15 * 0.85) ** 0.5)
-#: Classes of a block in the second look at dense regions.
+#: Classes of a block in the second look at dense regions: of full sets, and of marks.
 BLOCK = 256
+MARKS_BLOCK = 2048
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -136,8 +137,18 @@ def _unlike(x: int, y: int) -> int:
     return ((z | z >> 1) & _ODD).bit_count()
 
 
+def most_unlike(percent: int) -> int:
+    """Most of the signature's values whose two-bit marks may differ for a pair to be read.
+
+    At 0.8 a value's marks differ with probability 0.15; five standard errors are added.
+    """
+    n, p = TREES * DEPTH, 0.75 * (100 - percent) / 100
+    return int(n * p + 5 * (n * p * (1 - p)) ** 0.5)
+
+
 def candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, dense) of neighbouring classes; ``dense`` tells that the region has more than ``NEAR``."""
+    """Pairs (a, b) of neighbouring classes, and the members (a, region) of every dense root, in one table."""
+    limit = most_unlike(percent)
     width, cut = 4 * DEPTH, 4 * ROOT
     rows = classes.select(
         F.col("doc_id").alias("node"), "n", "marks",
@@ -145,6 +156,8 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
     )
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
         kept: list[tuple] = []  # the last rows of the region at the end of the batch before
         for batch in batches:
             now = kept + list(batch[["tree", "order", "node", "n", "marks"]].itertuples(index=False, name=None))
@@ -157,14 +170,17 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
                 _, _, node, n, marks = now[i]
                 mine = int.from_bytes(marks, "big")
                 for _, _, other, m, theirs in now[max(i - min(run, NEAR), 0): i]:
-                    if 100 * min(n, m) >= percent * max(n, m) and node != other and _unlike(mine, int.from_bytes(theirs, "big")) <= MOST_UNLIKE:
-                        out.append((min(node, other), max(node, other), run >= NEAR))
-            same = [r for r, root in zip(now[-NEAR:], roots[-NEAR:], strict=True) if root == roots[-1]]
-            kept = same
-            yield pd.DataFrame(out, columns=["a", "b", "dense"])
+                    if 100 * min(n, m) >= percent * max(n, m) and node != other and _unlike(mine, int.from_bytes(theirs, "big")) <= limit:
+                        out.append((min(node, other), max(node, other), None))
+                if run > NEAR:
+                    region = xxhash.xxh64_intdigest(bytes([roots[i][0]]) + roots[i][1]) - 2**63
+                    # The first row past the limit tells that the ones before it are members too.
+                    out += [(r[2], None, region) for r in (now[i - run: i + 1] if run == NEAR + 1 else now[i: i + 1])]
+            kept = [r for r, root in zip(now[-NEAR - 1:], roots[-NEAR - 1:], strict=True) if root == roots[-1]]
+            yield pd.DataFrame({c: pd.array([r[k] for r in out], dtype="Int64") for k, c in enumerate(("a", "b", "region"))})
 
     found = rows.repartition("tree", F.substring("order", 1, cut)).sortWithinPartitions("tree", "order", "node")
-    return found.mapInPandas(task, "a long, b long, dense boolean").groupBy("a", "b").agg(F.max("dense").alias("dense"))
+    return found.mapInPandas(task, "a long, b long, region long").distinct()
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -213,13 +229,19 @@ def _near_duplicates(docs: DataFrame, shingle: int, percent: int, text: str, doc
     usable = rows.where(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
     classes = usable.groupBy("set_hash").agg(F.min(F.struct("doc_id", "n", "sig", "marks")).alias("c")).select("set_hash", "c.doc_id", "c.n", "c.sig", "c.marks")
     classes = materialize(classes, "near-classes")
-    pairs = materialize(candidates(classes, percent), "near-pairs")
+    seen = materialize(candidates(classes, percent), "near-pairs")
+    pairs = seen.where(F.col("b").isNotNull()).select("a", "b")
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     sets = materialize(full_sets(docs, nodes, text, doc_id, shingle), "near-sets")
     links = materialize(confirm(pairs, sets, percent), "near-links")
     found = materialize(components(links), "near-components")
-    if not pairs.where("dense").isEmpty():
-        found = joined(found, materialize(apart(pairs, found, sets, percent), "near-more"))
+    members = seen.where(F.col("region").isNotNull()).select("region", F.col("a").alias("node"))
+    if not members.isEmpty():
+        open_ = materialize(undecided(members, found, classes, percent), "near-open")
+        nodes = open_.select("node").distinct()
+        if not nodes.isEmpty():
+            sets = materialize(full_sets(docs, nodes, text, doc_id, shingle), "near-dense-sets")
+            found = joined(found, materialize(apart(open_, sets, percent), "near-more"))
     known = classes.select("set_hash", F.col("doc_id").alias("node")).join(found, "node", "left").select(
         "set_hash", F.coalesce("component", "node").alias("component_id")
     )
@@ -238,50 +260,34 @@ def joined(found: DataFrame, more: DataFrame) -> DataFrame:
     return every.join(above, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
 
 
-def apart(pairs: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between classes of a dense region that lie in different components.
+def undecided(members: DataFrame, found: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(region, node, component) of classes in dense roots between whose components a link is possible.
 
-    A region is a component of the candidate pairs it gave. Its classes outside
-    its largest component are packed in blocks, and so are all its classes; a
-    block of the first kind meets every block of the second kind, as rows of
-    packed sets, and one link a class and component comes out.
+    ``members`` has the classes (region, node) of every dense root. A region of
+    the result is a component of the possible links between components.
     """
-    region = components(pairs.select("a", "b")).withColumnRenamed("component", "region")
-    dense = region.join(pairs.where("dense").select(F.col("a").alias("node")).distinct(), "node").select("region").distinct()
-    region = region.join(dense, "region", "left_semi")
-    member = region.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    member = materialize(member, "near-regions")
-    sizes = member.groupBy("region", "component").count()
-    main = sizes.groupBy("region").agg(F.max(F.struct("count", "component")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    open_ = member.join(main.select("region", F.col("m.component").alias("main"), ), "region").withColumn("apart", F.col("component") != F.col("main"))
-    full = open_.join(sets, "node").select("region", "node", "component", "apart", "shingles")
-    full = materialize(full.repartition("region", F.pmod(F.xxhash64("node"), F.lit(64))), "near-dense")
+    limit = most_unlike(percent)
+    member = materialize(members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-members")
+    marks = classes.select(F.col("doc_id").alias("node"), "n", F.col("marks").alias("data"))
+    rows = materialize(parted(member, MARKS_BLOCK).join(marks.hint("merge"), "node"), "near-marks")
+
+    def matched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([p for r in batch.itertuples(index=False) for p in alike(r, percent, limit)], columns=["a", "b"])
+
+    edges = materialize(block_pairs(rows, MARKS_BLOCK).mapInPandas(matched, "a long, b long").distinct(), "near-possible")
+    region = components(edges).select(F.col("node").alias("component"), F.col("component").alias("region"))
+    return member.select("node", "component").distinct().join(region, "component").select("region", "node", "component")
 
-    def packed(rows: DataFrame) -> DataFrame:
-        def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            now: list[tuple] = []
-            for batch in batches:
-                for row in batch.itertuples(index=False):
-                    if now and (now[0][0] != row.region or len(now) == BLOCK):
-                        yield block(now)
-                        now = []
-                    now.append(tuple(row))
-            if now:
-                yield block(now)
-
-        def block(rows: list[tuple]) -> pd.DataFrame:
-            sizes = np.array([len(r[3]) // 8 for r in rows], dtype="<i8")
-            return pd.DataFrame([{
-                "region": rows[0][0], "nodes": np.array([r[1] for r in rows], dtype="<i8").tobytes(),
-                "parts": np.array([r[2] for r in rows], dtype="<i8").tobytes(), "sizes": sizes.tobytes(), "sets": b"".join(r[3] for r in rows),
-            }])
-
-        return rows.sortWithinPartitions("region", "node").select("region", "node", "component", "shingles").mapInPandas(
-            task, "region long, nodes binary, parts binary, sizes binary, sets binary"
-        )
 
-    left = packed(full.where("apart")).select("region", *[F.col(c).alias(f"{c}_1") for c in ("nodes", "parts", "sizes", "sets")])
-    right = packed(full)
+def apart(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between classes of a region (region, node, component) that lie in different components.
+
+    Its classes outside its largest component are packed in blocks, and so are
+    all its classes; a block of the first kind meets every block of the second
+    kind, as rows of packed sets, and one link a class and component comes out.
+    """
+    full = parted(member, BLOCK).join(sets, "node").withColumn("n", F.expr("length(shingles) div 8")).withColumnRenamed("shingles", "data")
 
     def matched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -290,7 +296,70 @@ def apart(pairs: DataFrame, found: DataFrame, sets: DataFrame, percent: int) ->
                 out += block_links(r, percent)
             yield pd.DataFrame(out, columns=["a", "b"])
 
-    return left.join(right, "region").mapInPandas(matched, "a long, b long")
+    return block_pairs(materialize(full, "near-dense"), BLOCK).mapInPandas(matched, "a long, b long")
+
+
+def parted(member: DataFrame, block: int) -> DataFrame:
+    """Members of regions of several components, dealt to about ``block`` a stripe; ``apart`` marks those outside the main component."""
+    sizes = member.groupBy("region", "component").count()
+    main = sizes.groupBy("region").agg(
+        F.max(F.struct("count", "component")).alias("m"), F.count(F.lit(1)).alias("parts"), F.ceil(F.sum("count") / block).alias("stripes")
+    ).where("parts > 1")
+    return member.join(main.select("region", "stripes", F.col("m.component").alias("main")), "region").select(
+        "region", "stripes", F.expr("pmod(xxhash64(node), stripes)").alias("stripe"), "node", "component", (F.col("component") != F.col("main")).alias("apart")
+    )
+
+
+def block_pairs(rows: DataFrame, size: int) -> DataFrame:
+    """Every block of a region's classes apart beside every block of its classes; a large region is spread over its stripes."""
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now: list[tuple] = []
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False, name=None):
+                if now and (now[0][:3] != row[:3] or len(now) == size):
+                    out.append(block(now))
+                    now = []
+                now.append(row)
+            yield pd.DataFrame(out, columns=["region", "stripes", "stripe", "nodes", "parts", "sizes", "sets"])
+        if now:
+            yield pd.DataFrame([block(now)], columns=["region", "stripes", "stripe", "nodes", "parts", "sizes", "sets"])
+
+    def block(rows: list[tuple]) -> tuple:
+        return (*rows[0][:3], *[np.array([r[k] for r in rows], dtype="<i8").tobytes() for k in (3, 4, 5)], b"".join(r[6] for r in rows))
+
+    def packed(rows: DataFrame) -> DataFrame:
+        dealt = rows.repartition("region", "stripe").sortWithinPartitions("region", "stripe", "node")
+        return dealt.select("region", "stripes", "stripe", "node", "component", "n", "data").mapInPandas(
+            task, "region long, stripes long, stripe long, nodes binary, parts binary, sizes binary, sets binary"
+        )
+
+    left = packed(rows.where("apart")).select(
+        "region", F.explode(F.sequence(F.lit(0).cast("long"), F.col("stripes") - 1)).alias("stripe"), *[F.col(c).alias(f"{c}_1") for c in ("nodes", "parts", "sizes", "sets")]
+    )
+    return left.hint("merge").join(packed(rows), ["region", "stripe"])
+
+
+def alike(r, percent: int, limit: int) -> list[tuple[int, int]]:
+    """Pairs of components of two packed blocks of marks that a link may join."""
+    of = lambda x: np.frombuffer(x, "<i8")
+    p1, p2, s1, s2 = of(r.parts_1), of(r.parts), of(r.sizes_1), of(r.sizes)
+    x, y = (np.frombuffer(m, np.uint8).reshape(-1, TREES * DEPTH // 4) for m in (r.sets_1, r.sets))
+    x, y = (np.ascontiguousarray(m).view(np.uint64) for m in (x, y))
+    odd, found = np.uint64(0x5555555555555555), set()
+    for low in range(0, len(x), 256):
+        part = slice(low, low + 256)
+        unlike = np.zeros((len(x[part]), len(y)), np.uint16)
+        for k in range(x.shape[1]):
+            z = x[part, k, None] ^ y[None, :, k]
+            unlike += np.bitwise_count((z | z >> np.uint64(1)) & odd)
+        a, b = s1[part, None], s2[None, :]
+        i, j = np.nonzero((unlike <= limit) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (p1[part, None] != p2[None, :]))
+        if len(i):
+            u, v = p1[part][i], p2[j]
+            found.update(map(tuple, np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0).tolist()))
+    return sorted(found)
 
 
 def block_links(r, percent: int) -> list[tuple[int, int]]:

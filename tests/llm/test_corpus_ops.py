@@ -157,6 +157,24 @@ def test_near_dedup_by_brute_force(spark, monkeypatch, near):
     assert got == {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
 
 
+def test_near_dedup_among_dissimilar_neighbours(spark, monkeypatch):
+    """Short texts of a common passage and own tails, among many longer ones of the same passage."""
+    monkeypatch.setattr(near_dedup, "NEAR", 1)
+    rng = np.random.default_rng(7)
+    word = lambda n: " ".join(f"x{i}" for i in rng.integers(0, 1 << 40, n))
+    passage = word(93)
+    texts = [f"{passage} {word(50)}" for _ in range(1500)] + [f"{passage} {word(11)}" for _ in range(8)]
+    order = rng.permutation(len(texts))
+    docs = spark.createDataFrame([(int(i), t) for i, t in zip(order, texts, strict=True)], "doc_id long, text string")
+    short = sorted(int(i) for i in order[1500:])
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, 5).collect()}
+    assert got == {i: short[0] if i in short else i for i in got}
+
+
+def test_marks_limit_follows_the_threshold():
+    assert near_dedup.most_unlike(100) == 0 and near_dedup.most_unlike(80) == 31 and near_dedup.most_unlike(50) > 31
+
+
 def test_near_dedup_edges(spark):
     assert near_dedup.near_duplicates(empty(spark)).count() == 0
     odd = spark.createDataFrame([(None, "a b"), (3, "A b"), (2, "a  B"), (2, "a  B"), (1, None), (0, "")], "doc_id long, text string")
