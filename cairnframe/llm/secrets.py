@@ -40,9 +40,12 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 ALLOW = (
     re.compile(r"(?:[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12})"),
     re.compile(r"(?i:example|sample|placeholder|changeme|xxxx|0123456789|abcdefgh)"),
-    re.compile(r"/[A-Za-z0-9_-]*[a-z]{3,}[A-Za-z0-9_-]*/"),
 )
-ALLOW_BEFORE = re.compile(r"(?i:sha-?(?:1|256|512)|md5|commit|etag|integrity|checksum|https?:/*\S*)[\s:=\"'-]*$")
+ALLOW_BEFORE = re.compile(r"(?i:sha-?(?:1|256|512)|md5|commit|etag|integrity|checksum)[\s:=\"'-]*$")
+#: A part of a path; it speaks for itself and not for the rest of its run.
+PATH = re.compile(r"/[A-Za-z0-9_-]*[a-z]{3,}[A-Za-z0-9_-]*(?=/)")
+#: An address ends at white space, a quote or a bracket of markup.
+URL = re.compile(r"(?i:https?:/)[^\s\"'<>`]*")
 
 
 def _class(run: str) -> str | None:
@@ -80,8 +83,12 @@ def best_window(run: str, width: int = WINDOW) -> float:
     return best
 
 
-def _allowed(text: str, start: int, run: str) -> bool:
-    return any(p.search(run) for p in ALLOW) or bool(ALLOW_BEFORE.search(text, max(0, start - 64), start))
+def _allowed(text: str, start: int, run: str, threshold: float) -> bool:
+    if any(p.search(run) for p in ALLOW) or ALLOW_BEFORE.search(text, max(0, start - 64), start):
+        return True
+    if not PATH.search(run):
+        return False
+    return all(best_window(part) < threshold for part in PATH.sub(" ", run).split())
 
 
 def scan(text: str) -> list[tuple[str, int, int, str, float]]:
@@ -89,9 +96,15 @@ def scan(text: str) -> list[tuple[str, int, int, str, float]]:
     spans = [("assign", m.start(), m.end(), m[2], 0.0) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     spans += [("access", m.start(), m.end(), m[0], 0.0) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     spans += [("hex", m.start(), m.end(), m[0], 0.0) for m in HEX.finditer(text)]
+    urls, at = None, 0
     for m in RUN.finditer(text):
         kind = _class(m[0])
-        if kind and (bits := best_window(m[0])) >= THRESHOLD[kind] and not _allowed(text, m.start(), m[0]):
+        if kind and (bits := best_window(m[0])) >= THRESHOLD[kind] and not _allowed(text, m.start(), m[0], THRESHOLD[kind]):
+            urls = [u.span() for u in URL.finditer(text)] if urls is None else urls  # few texts come here
+            while at < len(urls) and urls[at][1] <= m.start():
+                at += 1
+            if at < len(urls) and urls[at][0] <= m.start():
+                continue
             spans.append(("entropy", m.start(), m.end(), m[0], round(bits, 3)))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 

@@ -83,6 +83,15 @@ def test_secrets(spark):
     assert not any(s.kind == "assign" and s.value == "abc" for s in found[0].secrets) and found[1].secrets == found[2].secrets == []
 
 
+def test_secrets_beside_urls_and_paths():
+    key, hash_ = "q8Zr3vN0pLx7Wk2Tj9Yb5Hd1", "Zt5Kq0Xw9Rb3Ym7Lc1Vn8Jd4"
+    found = lambda text: [s[3] for s in secrets.scan(text) if s[0] == "entropy"]
+    assert found(f"see https://api.x.io/v1\n{key}") == found(f"curl https://api.x.io/v1 {key}") == [key]
+    assert found(f'{{"at":"https://x.io/v1","key":"{key}"}}') == [key]
+    assert found(f"https://x.io/{'long.' * 40}?v={hash_}") == found(f"a https://x.io/?v={hash_}") == []
+    assert found(f"{key}/static/{hash_}") == [f"{key}/static/{hash_}"] and found("/assets9/images/styles/fonts2/scripts/main") == []
+
+
 def test_toxicity_learns_and_is_fair(spark):
     rng = np.random.default_rng(0)
     vocab = [f"w{i}" for i in range(300)]
