@@ -6,7 +6,9 @@ adverts, forms and comments go by their elements or class names. Where a page
 marks its article (or main part), the blocks inside are the text. Only where it
 does not are the remaining blocks in doubt, and repetition decides: a run of at
 least ``RUN`` tokens that occurs on two or more distinct pages of a host is
-boilerplate, and what no such run covers is kept.
+boilerplate. A block goes only if such runs cover all of it, so a quote inside a
+text stays, and pages of a host with equal text count as one, so that copies of
+a page do not erase each other.
 
 Repeated runs are what neighbours in a suffix array over the host's concatenated
 token streams share. Suffixes are sorted here by a shuffle on (host, first
@@ -145,22 +147,23 @@ def blocks(html: str | None) -> tuple[list[str], bool]:
 
 
 def parse(pages: DataFrame, html: str = "html") -> DataFrame:
-    """page_id, url, host, text where it is certain, tokens where it is in doubt."""
+    """page_id, url, host, text where it is certain, tokens and the blocks' numbers of tokens where it is in doubt."""
 
-    @F.pandas_udf("struct<text:string,tokens:array<string>>")
+    @F.pandas_udf("struct<text:string,tokens:array<string>,lengths:array<int>>")
     def parsed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts, tokens = [], []
+            texts, tokens, lengths = [], [], []
             for page in batch:
                 found, doubt = blocks(page)
                 text = " ".join(found)
                 texts.append(None if doubt else text)
                 tokens.append(text.split() if doubt else None)
-            yield pd.DataFrame({"text": texts, "tokens": tokens})
+                lengths.append([len(b.split()) for b in found] if doubt else None)
+            yield pd.DataFrame({"text": texts, "tokens": tokens, "lengths": lengths})
 
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1))
     return pages.select("page_id", "url", host.alias("host"), parsed(html).alias("p")).select(
-        "page_id", "url", "host", "p.text", "p.tokens", F.monotonically_increasing_id().alias("row")
+        "page_id", "url", "host", "p.text", "p.tokens", "p.lengths", F.monotonically_increasing_id().alias("row")
     )
 
 
@@ -181,18 +184,25 @@ def extract(pages: DataFrame, run: int = RUN, html: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     rows = materialize(parse(pages, html), "html-parsed")
     doubt = rows.where(F.col("tokens").isNotNull())
-    starts = repeated(doubt, run)
+    content = F.xxhash64("tokens").alias("content")
+    same = doubt.groupBy("host", content).agg(F.min("page_id").alias("page_id"))
+    starts = repeated(doubt.select("row", "host", "tokens", content).join(same, ["host", "content"]), run)
 
     @F.pandas_udf("string")
-    def uncovered(tokens: pd.Series, starts: pd.Series) -> pd.Series:
+    def uncovered(tokens: pd.Series, lengths: pd.Series, starts: pd.Series) -> pd.Series:
         out = []
-        for words, at in zip(tokens, starts, strict=True):
+        for words, sizes, at in zip(tokens, lengths, starts, strict=True):
             covered = bytearray(len(words))
             for i in () if at is None else at:
                 covered[i: i + run] = b"\x01" * min(run, len(words) - i)
-            out.append(" ".join(w for w, c in zip(words, covered, strict=True) if not c))
+            kept, begin = [], 0
+            for n in sizes:
+                if not all(covered[begin: begin + n]):
+                    kept.extend(words[begin: begin + n])
+                begin += n
+            out.append(" ".join(kept))
         return pd.Series(out, dtype=object)
 
-    kept = doubt.join(starts, "row", "left").select("page_id", "url", uncovered("tokens", "starts").alias("text"))
+    kept = doubt.join(starts, "row", "left").select("page_id", "url", uncovered("tokens", "lengths", "starts").alias("text"))
     certain = rows.where(F.col("tokens").isNull()).select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"))
     return certain.unionByName(kept).withColumn("n_chars", F.length("text").cast("long"))

@@ -129,6 +129,14 @@ def test_page_text(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_copies_and_quotes_of_unmarked_pages(spark):
+    quote, menu = "a saying of ten words that many pages like to quote", "<div>every page of the host has this line of links</div>"
+    bodies = ["only on the first page and its copy stands this", "only on the first page and its copy stands this", f"one thinks {quote} is right", f"two holds {quote} is wrong"]
+    pages = [(i, f"http://h.org/{i}", f"<body>{menu}<p>{b}</p></body>") for i, b in enumerate(bodies)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == dict(enumerate(bodies))
+
+
 def test_chrome_names():
     assert html_text.blocks('<main class="with-sidebar">a<div class="reader-comments">no</div><section id=share_bar>no</section></main><div>b') == (["a"], False)
     assert html_text.blocks('<div class="has-sidebar"><p>a<div class="sidebar">no</div></div>') == (["a"], True)
