@@ -43,12 +43,12 @@ DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OPEN: list[list[str]] = []
 
 
-def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+def materialize(df: DataFrame, label: str, keep: bool = False, **options: object) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     This cuts lineage, so that a lost executor costs a reread of a file and
     never a recomputation of everything before it. Inside a ``scratch`` block
-    the files go when the block ends, unless ``keep`` is set.
+    the files go when the block ends, unless ``keep`` is set. ``options`` go to the writer.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
@@ -56,7 +56,7 @@ def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     before = spark.conf.get(DROP_SHUFFLES, "false")
     spark.conf.set(DROP_SHUFFLES, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").options(**options).parquet(path)
     finally:
         spark.conf.set(DROP_SHUFFLES, before)
     if _OPEN and not keep:
@@ -64,6 +64,18 @@ def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(spark: SparkSession, label: str) -> None:
+    """Delete what ``materialize`` wrote under a label inside the innermost ``scratch`` block, once nothing reads it again."""
+    for path in [p for p in (_OPEN[-1] if _OPEN else []) if p.rsplit("/", 1)[1].rsplit("-", 1)[0] == label]:
+        _OPEN[-1].remove(path)
+        _delete(spark, path)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete what ``materialize`` wrote inside the block; results that outlive it are written with ``keep``."""
@@ -71,10 +83,8 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
         for path in _OPEN.pop():
-            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(conf).delete(place, True)
+            _delete(spark, path)
 
 
 def words(text: Column) -> Column:

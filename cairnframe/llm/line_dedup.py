@@ -5,76 +5,47 @@ A line is its set of words. It is removed when an earlier line, in the order of
 earlier line counts even if it is removed itself, so the result depends on no
 order of processing.
 
-1. Word counts, in a table of fixed size (``BUCKETS`` bytes), give each word a
-   rarity level. A line's words, as 56-bit hashes under their level, sort rarest first.
-2. Lines with equal sets collapse to their first place by partial aggregation:
+1. Texts are cut into words once; each line's set of 64-bit word hashes is
+   written to the shared folder, and all else reads that.
+2. Word counts, in ``BUCKETS`` numbers whatever the corpus holds, give each word
+   a rarity level. A line's prefix is its n - ceil(t n) + 2 rarest words.
+3. Lines with equal sets collapse to their first place by partial aggregation:
    a line that a third of all documents share goes on as one row.
-3. Two similar lines share a word among the first n - ceil(t n) + 1 of each.
-   Lines meet by such words if their lengths, and at the first shared word
-   their positions, still allow the overlap.
-4. Words that more than ``DENSE`` lines meet by (groups of near copies) are
-   joined in two rounds: first with a few leaders, the earliest lines of each
-   salt; and then only the lines that no leader removed meet all others. A pair
-   comes only from the first dense word that it shares.
-5. Candidates are verified on full sets, from the lines' texts.
+4. Two similar lines share a word among the first n - ceil(t n) + 1 of each. In
+   a first round every line meets only the ``LEADERS`` earliest lines of each
+   such word, and is verified against the leader that it shares most words with.
+   This settles groups of near copies with one pair a line.
+5. Only the lines left open then meet earlier lines by a shared word, where
+   lengths, positions and parities of the sets allow the similarity. Words by
+   which more than ``DENSE`` lines meet are refined: similar lines share two
+   words among the whole prefix, so those lines meet by the first shared word
+   and any later one.
+6. Candidates are verified on full sets.
 
 Sets are told apart by a 64-bit hash of their words' hashes.
 
 Defined results: lines without a word are kept and never compared; a null text
 is the empty text; rows with a null doc_id take no part and keep their lines;
-rows that repeat a doc_id are one document, whose lines have equal places; an
-empty table gives an empty table; other columns pass through.
+rows that repeat a doc_id are one document, whose lines have equal places (of
+two texts under one doc_id, lines of the same number and place do not remove
+each other); an empty table gives an empty table; other columns pass through.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, scratch, words
+from ._common import discard, materialize, scratch, words
 
 PERCENT = 80
-#: Buckets of words whose counts tell how rare a word is; one byte each.
+#: Buckets of words whose counts tell how rare a word is.
 BUCKETS = 1 << 18
-#: Buckets of postings that tell which words may be dense.
-CROWDS = 1 << 16
+#: Lines that meet by one word before a second word is asked for.
 DENSE = 256
-LEADERS = 3
-#: Words of the wide parity, a power of two.
-WIDE = 4
-
-
-def _byte(table: bytes, at: Column) -> Column:
-    """The number, at most 127, that a constant table holds at a place."""
-    return F.ascii(F.substring(F.lit(table), at.cast("int") + 1, F.lit(1)).cast("string"))
-
-
-def _levels(docs: DataFrame, text: str) -> bytes:
-    """One number a bucket of words: twice the binary logarithm of its count.
-
-    The table has ``BUCKETS`` bytes whatever the corpus holds. It comes to the
-    driver in pieces of 1024 buckets.
-    """
-    spark = docs.sparkSession
-    buckets = docs.select(F.explode(_text_words(F.coalesce(F.col(text), F.lit("")))).alias("w")).select(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket"))
-    every = spark.range(0, BUCKETS, 1, 4).select(F.col("id").cast("int").alias("bucket"))
-    counts = materialize(buckets.unionByName(every).groupBy("bucket").count(), "line-counts")
-    level = F.least(F.floor(2 * F.log2(F.col("count").cast("double"))) + 1, F.lit(126)).cast("int")
-    piece = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", level.alias("level")))), lambda x: F.char(x["level"])), "")
-    pieces = counts.groupBy(F.shiftright("bucket", 10).alias("piece")).agg(piece.alias("levels"))
-    return "".join(levels for _, levels in sorted(pieces.collect())).encode()
-
-
-def _keys(line: Column, levels: bytes) -> Column:
-    """The distinct words of a line as sortable numbers, rarest first."""
-    tokens = F.array_distinct(F.transform(_line_words(line), lambda w: F.xxhash64(w)))
-    level = lambda h: F.shiftleft(_byte(levels, h.bitwiseAND(F.lit(BUCKETS - 1))).cast("long"), 56)
-    return F.sort_array(F.transform(tokens, lambda h: level(h).bitwiseOR(F.shiftrightunsigned(h, 8))))
-
-
-def _text_words(text: Column) -> Column:
-    """The words of a text: most hold no white space but spaces and ends of lines, and need no regular expression."""
-    return F.when(text.rlike(r"[\x09\x0B-\x0D]"), words(text)).otherwise(F.array_remove(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " ", -1), ""))
+LEADERS = 2
+#: Words of 64 bits that tell which sets take part in verification.
+MEMBERS = 1 << 16
 
 
 def _line_words(line: Column) -> Column:
@@ -87,152 +58,145 @@ def _parity(keys: Column) -> Column:
     return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
 
 
-def _wide_parity(keys: Column, part: int) -> Column:
-    """Part of a parity of ``WIDE`` times 64 bits."""
-    return _parity(F.filter(keys, lambda k: F.shiftrightunsigned(k, 6).bitwiseAND(F.lit(WIDE - 1)) == part))
-
-
 def _least(n: Column, percent: int) -> Column:
     """ceil(percent n / 100), in integers."""
     return F.floor((n * percent + 99) / 100).cast("int")
 
 
-def lines_of(docs: DataFrame, levels: bytes, percent: int = PERCENT, text: str = "text") -> DataFrame:
-    """doc_id, line_no, id (of the set), n (its size), parity and prefix, for lines with a word."""
+def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, line_no, id (of the set) and keys (the sorted hashes of its words), for lines with a word."""
     split = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("line_no", "line"))
     # The filter names the line, not its keys: it would else compute them a second time below.
-    keyed = split.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("keys", _keys(F.col("line"), levels))
+    keyed = split.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("keys", F.sort_array(F.array_distinct(F.transform(_line_words(F.col("line")), lambda w: F.xxhash64(w)))))
+    return keyed.select("doc_id", "line_no", F.xxhash64("keys").alias("id"), "keys")
+
+
+def _levels(lines: DataFrame) -> DataFrame:
+    """One row: for each bucket of words, twice the binary logarithm of its count, in the top byte of a long."""
+    slots = lines.sparkSession.range(0, BUCKETS, 1, 4).select(F.col("id").cast("int").alias("bucket"), F.lit(0).alias("one"))
+    found = lines.select(F.explode("keys").alias("h")).select(F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket"), F.lit(1).alias("one"))
+    counts = materialize(found.unionByName(slots).groupBy("bucket").agg(F.sum("one").alias("n")), "line-counts")
+    level = F.shiftleft(F.least(F.floor(2 * F.log2(F.col("n") + 1.0)), F.lit(126)).cast("long"), 56)
+    return counts.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", level.alias("level")))), lambda x: x["level"]).alias("levels"))
+
+
+def _prefixed(lines: DataFrame, percent: int) -> DataFrame:
+    """id, place, n (size of the set), parity and prefix of each line; the prefix has one word more than a single shared word asks for."""
     n = F.size("keys")
-    return keyed.select("doc_id", "line_no", F.xxhash64("keys").alias("id"), n.alias("n"), _parity(F.col("keys")).alias("parity"), F.slice("keys", F.lit(1), n - _least(n, percent) + 1).alias("prefix"))
+    # The table is named before it is used: a subquery cannot be written inside a function of functions.
+    tabled = lines.withColumn("levels", F.array(_levels(lines).scalar()))
+    ordered = F.sort_array(F.get(F.transform("levels", lambda table: F.transform(
+        "keys", lambda h: F.get(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 8))
+    )), F.lit(0)))
+    return tabled.select("id", "doc_id", "line_no", n.alias("n"), _parity(F.col("keys")).alias("parity"), F.slice(ordered, F.lit(1), n - _least(n, percent) + 2).alias("prefix"))
 
 
-def _may(a: str, b: str, percent: int) -> Column:
-    """Whether sizes, positions at the first shared word, and parities allow the similarity."""
-    n, m, i, j = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.i"), F.col(f"{b}.i")
-    overlap = F.least(n - i, m - j) * (100 + percent) >= (n + m) * percent
-    apart = F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity"))) * (100 + percent) <= (n + m) * (100 - percent)
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & overlap & apart
+#: What travels with a word: of the word 32 bits, which can only add candidates, and size and position as one number.
+_SIZED = 1 << 31
 
 
-def _before(a: str, b: str) -> Column:
-    """Whether the first place of a comes before that of b."""
-    return F.struct(f"{a}.doc_id", f"{a}.line_no") < F.struct(f"{b}.doc_id", f"{b}.line_no")
+def _postings(first: DataFrame, percent: int, n: Column, *more: str) -> DataFrame:
+    """A row for each word of the shorter prefix of each set."""
+    short = F.slice("prefix", F.lit(1), F.col("n") - _least(F.col("n"), percent) + 1)
+    return _narrow(first.select("rank", n.alias("n"), "parity", *more, F.posexplode(short).alias("i", "token")), *more)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Ids of the later sets of pairs (first, later) that are similar."""
-    left, right = sets.select(F.col("id").alias("first"), F.col("keys").alias("x")), sets.select(F.col("id").alias("later"), F.col("keys").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "first").join(right, "later").where(
-        common * 100 >= (F.size("x") + F.size("y") - common) * percent
-    ).select(F.col("later").alias("id")).distinct()
+def _narrow(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select("rank", "parity", F.hash("token").alias("token"), (F.col("n").cast("long") * _SIZED + F.col("i")).alias("ni"), *more)
 
 
-def _about(places: DataFrame, sets: DataFrame) -> DataFrame:
-    """Place, size and wide parity of each set that takes part."""
-    wide = sets.select("id", F.size("keys").alias("n"), *[_wide_parity(F.col("keys"), k).alias(f"w{k}") for k in range(WIDE)]).dropDuplicates(["id"])
-    return materialize(places.select("id", F.struct("doc_id", "line_no").alias("p")).join(wide, "id"), "line-about")
+def _at(ni: str) -> Column:
+    return F.col(ni).bitwiseAND(F.lit(_SIZED - 1)).cast("int")
 
 
-def _removed(pairs: DataFrame, info: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Ids of sets that are similar to an earlier one, from unordered candidate pairs (x, y).
+def _may(a: str, b: str, percent: int, unit: int = 1) -> Column:
+    """Whether sizes, positions at the first shared word, and parities allow the similarity; sizes are in units."""
+    n, m = (F.shiftright(f"{x}ni", 30 + unit).cast("int") for x in (a, b))
+    overlap = F.least(n - _at(f"{a}ni"), m - _at(f"{b}ni")) * (100 + percent) >= (n + m) * percent
+    apart = F.bit_count(F.col(f"{a}parity").bitwiseXOR(F.col(f"{b}parity"))) * (100 + percent) <= (n + m) * (100 - percent)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & overlap & apart
 
-    One similar earlier set decides. So each set first meets a few of its
-    candidates, the earliest of each salt; only those still undecided meet the
-    rest. In a group of near copies, few are.
-    """
-    # Wider parities first: most pairs that the narrow ones let through end here, without their sets.
-    at = lambda i: info.select(F.col("id").alias(i), *[F.col(c).alias(f"{i}_{c}") for c in ("p", "n", *(f"w{k}" for k in range(WIDE)))])
-    apart = sum((F.bit_count(F.col(f"x_w{k}").bitwiseXOR(F.col(f"y_w{k}"))) for k in range(1, WIDE)), F.bit_count(F.col("x_w0").bitwiseXOR(F.col("y_w0"))))
-    both = pairs.join(at("x"), "x").join(at("y"), "y").where(
-        (F.col("x_p") != F.col("y_p")) & (apart * (100 + percent) <= (F.col("x_n") + F.col("y_n")) * (100 - percent))
-    ).select("x", "y", F.col("x_p").alias("px"), F.col("y_p").alias("py"))
-    before = F.col("px") < F.col("py")
-    ordered = both.select(F.when(before, F.col("x")).otherwise(F.col("y")).alias("first"), F.when(before, F.col("y")).otherwise(F.col("x")).alias("later"), F.least("px", "py").alias("place"))
-    ordered = materialize(ordered, "line-ordered")
-    few = ordered.groupBy("later", F.pmod("first", F.lit(LEADERS)).alias("salt")).agg(F.min(F.struct("place", "first")).alias("f")).select(F.col("f.first").alias("first"), "later")
-    found = materialize(_verified(few, sets, percent), "line-removed")
-    rest = ordered.select("first", "later").join(found, F.col("later") == F.col("id"), "left_anti").join(few, ["first", "later"], "left_anti")
-    return materialize(found.unionByName(_verified(rest, sets, percent)).distinct(), "line-removed")
-
-
-def _crowded(posted: DataFrame) -> Column:
-    """Whether a word's bucket holds so many postings that the word may be dense.
-
-    A word outside such a bucket has at most the limit, four times the mean of
-    the fixed number of buckets, or ``DENSE`` if that is more.
-    """
-    counts = posted.groupBy(F.pmod("token", F.lit(CROWDS)).cast("int").alias("bucket")).count()
-    table, found = bytearray(CROWDS), {r.bucket: r["count"] for r in counts.toLocalIterator()}
-    limit = max(DENSE, 4 * sum(found.values()) // CROWDS)
-    for bucket, n in found.items():
-        table[bucket] = int(n > limit)
-    return _byte(bytes(table), F.pmod("token", F.lit(CROWDS))) == 1
 
+def _led(first: DataFrame, percent: int) -> DataFrame:
+    """later, with first, that of the earliest sets of its words with which it shares most of them, and ``at``, where its words are that more than ``DENSE`` sets share."""
+    group = Window.partitionBy("token").orderBy("rank")
+    so_far, every = group.rowsBetween(Window.unboundedPreceding, Window.currentRow), group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = _postings(first, percent, F.col("n")).withColumns({f"l{k}": F.nth_value(F.struct("rank", "ni", "parity"), k + 1).over(so_far) for k in range(LEADERS)})
+    # A place of a dense word goes along as one more row, without a leader.
+    dense = F.when(F.count(F.lit(1)).over(every) > DENSE, F.struct(F.lit(None).cast("long").alias("rank"), "ni", "parity"))
+    met = rows.withColumn("dense", dense).select("rank", "ni", "parity", F.explode(F.array(*[f"l{k}" for k in range(LEADERS)], "dense")).alias("l"))
+    met = met.where(F.col("l").isNotNull() & (F.col("l.rank").isNull() | (F.col("l.rank") < F.col("rank")) & _may("", "l.", percent)))
+    met = met.select(F.col("rank").alias("later"), F.col("l.rank").alias("first"), _at("ni").alias("i")).repartition("later")
+    shared = met.groupBy("later", "first").agg(F.count(F.lit(1)).alias("shared"), F.collect_list(F.when(F.col("first").isNull(), F.col("i"))).alias("at"))
+    return shared.groupBy("later").agg(F.max(F.when(F.col("first").isNotNull(), F.struct("shared", "first"))).alias("b"), F.max("at").alias("at")).select(F.col("b.first").alias("first"), "later", "at")
 
-def _full_sets(docs: DataFrame, places: DataFrame, levels: bytes, text: str) -> DataFrame:
-    """(id, keys) of the sets with places (id, doc_id, line_no), from the texts there.
 
-    A table of fixed size of the documents' hashes keeps most other texts out of the shuffle.
+def _open_pairs(first: DataFrame, percent: int) -> DataFrame:
+    """(first, later): candidates of the sets that are ``open``, with earlier sets of all kinds."""
+
+    def meet(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("token"))).where(F.col("members") > 1)
+        a, b = rows.alias("a"), rows.where(F.shiftright("ni", 31).bitwiseAND(F.lit(1)) == 1).alias("b")
+        allowed = (F.col("a.token") == F.col("b.token")) & (F.col("a.rank") < F.col("b.rank")) & _may("a.", "b.", percent, 2)
+        return a.join(b.hint("merge"), allowed).select(F.col("a.rank").alias("first"), F.col("b.rank").alias("later"))
+
+    # Openness is the last bit of the size, so that both sides of the join are one shuffle.
+    m = F.col("n") * 2 + F.col("open").cast("int")
+    one = _postings(first.withColumn("at", F.coalesce("at", F.array().cast("array<int>"))), percent, m, "at").where(~F.array_contains("at", _at("ni"))).drop("at")
+    # A second shared word, from the whole prefix, tells apart the lines of a word that very many share.
+    two = first.where(F.size("at") > 0).select("rank", m.alias("n"), "parity", "prefix", F.explode("at").alias("i"))
+    two = two.select("rank", "n", "parity", "i", F.get("prefix", F.col("i")).alias("w"), F.explode(F.slice("prefix", F.col("i") + 2, F.size("prefix"))).alias("v"))
+    return meet(one).unionByName(meet(_narrow(two.withColumn("token", F.xxhash64("w", "v"))))).distinct()
+
+
+def _full_sets(pairs: DataFrame, first: DataFrame, lines: DataFrame) -> DataFrame:
+    """(rank, place, keys) of the sets that pairs name.
+
+    A bitmap of fixed size keeps most other lines out of the shuffle; where very many sets take part it keeps out fewer.
     """
-    size = 1 << 18
-    table = bytearray(size)
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(size)).cast("int")
-    for r in places.select(bucket("doc_id").alias("b")).distinct().toLocalIterator():
-        table[r.b] = 1
-    by_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "id")).alias("places"))
-    whole = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("__text"))
-    whole = whole.where(F.substring(F.lit(bytes(table)), bucket("doc_id") + 1, F.lit(1)) == F.lit(b"\x01"))
-    rows = whole.join(by_doc.hint("merge"), "doc_id").withColumn("__lines", F.split("__text", "\n", -1)).select("doc_id", "__lines", F.explode("places").alias("p"))
-    # A repeated doc_id may have another text at the place; the set then goes under its own id.
-    return rows.select(_keys(F.get("__lines", F.col("p.line_no")), levels).alias("keys")).select(F.xxhash64("keys").alias("id"), "keys")
+    spark = pairs.sparkSession
+    named = pairs.select(F.explode(F.array("first", "later")).alias("rank")).distinct()
+    wanted = materialize(first.select("rank", "id", F.struct("doc_id", "line_no").alias("place")).join(named.hint("merge"), "rank", "left_semi"), "line-wanted")
+    slot = F.shiftrightunsigned("id", 6).bitwiseAND(F.lit(MEMBERS - 1)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("id").bitwiseAND(F.lit(63)).cast("int"))
+    every = spark.range(0, MEMBERS, 1, 4).select(F.col("id").cast("int").alias("slot"), F.lit(0).cast("long").alias("bits"))
+    bits = wanted.select(slot.alias("slot"), bit.alias("bits")).unionByName(every).groupBy("slot").agg(F.bit_or("bits").alias("bits"))
+    table = bits.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "bits"))), lambda x: x["bits"]).alias("bits")).scalar()
+    near = lines.where(F.get(table, slot).bitwiseAND(bit) != 0).select("id", "keys")
+    return materialize(near.join(wanted.hint("merge"), "id").dropDuplicates(["rank"]).select("rank", "place", "keys"), "line-full")
+
+
+def _removed(pairs: DataFrame, first: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """Ranks of the later sets of candidates (first, later) that are similar."""
+    sets = _full_sets(pairs, first, lines)
+    side = lambda name, x: sets.select(F.col("rank").alias(name), F.col("keys").alias(x), F.col("place").alias(f"p{x}"))
+    common = F.size(F.array_intersect("x", "y"))
+    found = pairs.join(side("first", "x"), "first").join(side("later", "y"), "later").where(
+        (F.col("px") < F.col("py")) & (common * 100 >= (F.size("x") + F.size("y") - common) * percent))
+    return materialize(found.select(F.col("later").alias("rank")).distinct(), "line-removed")
 
 
 def repeats(docs: DataFrame, percent: int = PERCENT, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """All lines with a word (doc_id, line_no, id), and those of them to remove (doc_id, line_no)."""
-    levels = _levels(docs, text)
-    lines = materialize(lines_of(docs, levels, percent, text), "line-sets")
-    first = lines.groupBy("id").agg(F.min(F.struct("doc_id", "line_no", "n", "parity", "prefix")).alias("f"), F.count(F.lit(1)).alias("copies"))
-    first = materialize(first.select("id", "copies", "f.*"), "line-first")
-    posted = first.select("id", "n", "parity", F.posexplode("prefix").alias("i", "token"))
-    crowded = _crowded(posted)
-    meets = (F.col("a.token") == F.col("b.token")) & _may("a", "b", percent)
-
-    def pairs_of(rows: DataFrame) -> DataFrame:
-        return rows.alias("a").join(rows.alias("b").hint("merge"), meets & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
-
-    # Words in crowded buckets are counted one by one; few of them are dense.
-    crowd = first.select("id", "doc_id", "line_no", "n", "parity", F.posexplode("prefix").alias("i", "token")).where(crowded)
-    counts = crowd.groupBy("token").count().where("count > 1")
-    crowd = materialize(crowd.join(counts, "token"), "line-crowd")
-    pairs = pairs_of(posted.where(~crowded)).unionByName(pairs_of(crowd.where(F.col("count") <= DENSE)))
-
-    held = crowd.where(F.col("count") > DENSE).groupBy("id", "doc_id", "line_no", "n", "parity").agg(F.collect_list(F.struct("i", "token")).alias("all"))
-    dense = held.select("id", "doc_id", "line_no", "n", "parity", "all", F.explode("all").alias("p")).select(
-        "id", "doc_id", "line_no", "n", "parity", F.col("p.i").alias("i"), F.col("p.token").alias("token"),
-        F.expr("transform(filter(all, x -> x.i < p.i), x -> x.token)").alias("before"),
-    )
-    dense = materialize(dense, "line-dense")
-    fresh = meets & _before("a", "b") & ~F.arrays_overlap("a.before", "b.before")
-    lead = dense.groupBy("token", F.pmod(F.xxhash64("id"), F.lit(LEADERS)).alias("salt")).agg(
-        F.min(F.struct("doc_id", "line_no", "id", "n", "parity", "i", "before")).alias("f")).select("token", "f.*")
-    led = lead.alias("a").join(dense.alias("b"), fresh).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
-    pairs = materialize(pairs.unionByName(led).distinct(), "line-pairs")
-
-    # Full sets of the lines that take part, from the texts at their first places.
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("id")).unionByName(dense.select("id")).distinct()
-    places = materialize(first.select("id", "doc_id", "line_no").join(wanted, "id", "left_semi"), "line-places")
-    sets = materialize(_full_sets(docs, places, levels, text), "line-full")
-    info = _about(places, sets)
-    removed = _removed(pairs, info, sets, percent)
-    rest = dense.join(removed, "id", "left_anti")
-    more = dense.alias("a").join(rest.alias("b"), fresh).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
-    removed = removed.unionByName(_removed(more.join(pairs, ["x", "y"], "left_anti"), info, sets, percent)).distinct()
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be above 50 and at most 100: two shared words are else not certain")
+    lines = materialize(lines_of(docs, text), "line-sets", **{"parquet.dictionary.page.size": 8 << 20})
+    found = _prefixed(lines, percent).groupBy("id").agg(F.min(F.struct("doc_id", "line_no", "n", "parity", "prefix")).alias("f"), F.count(F.lit(1)).alias("copies"))
+    found = materialize(found.select("id", "copies", "f.*"), "line-first")
+    # One number stands for a set from here on: numbers in the order of first places.
+    ordered = found.repartitionByRange("doc_id", "line_no").sortWithinPartitions("doc_id", "line_no", "id")
+    first = materialize(ordered.withColumn("rank", F.monotonically_increasing_id()), "line-ranked")
+    discard(docs.sparkSession, "line-first")
+    led = materialize(_led(first, percent), "line-led")
+    settled = _removed(led.where(F.col("first").isNotNull()).select("first", "later"), first, lines, percent)
+    state = led.select(F.col("later").alias("rank"), "at").join(settled.withColumn("gone", F.lit(True)), "rank", "left")
+    flagged = first.join(state, "rank", "left").withColumn("open", F.col("gone").isNull())
+    pairs = materialize(_open_pairs(flagged, percent), "line-pairs")
+    removed = settled.unionByName(_removed(pairs, first, lines, percent)).withColumn("similar", F.lit(True))
 
     # A line goes if its set is similar to an earlier one, or if it is not the first of its set.
-    known = first.where("copies > 1").select("id", "doc_id", "line_no", F.lit(False).alias("similar")).unionByName(
-        removed.select("id", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("int").alias("line_no"), F.lit(True).alias("similar"))
-    ).groupBy("id").agg(F.max("similar").alias("similar"), F.max("doc_id").alias("d"), F.max("line_no").alias("l"))
+    known = first.select("rank", "id", "copies", "doc_id", "line_no").join(removed, "rank", "left").where("copies > 1 OR similar")
+    known = known.select("id", F.col("doc_id").alias("d"), F.col("line_no").alias("l"), "similar")
     gone = lines.select("doc_id", "line_no", "id").join(known, "id").where("similar OR doc_id <> d OR line_no <> l").select("doc_id", "line_no").distinct()
     return lines, gone
 
