@@ -1,94 +1,159 @@
-"""Line deduplication by an exact set-similarity join, with DataFrame functions only.
+"""Line deduplication by an exact set-similarity join.
 
 A line is its set of words. It is removed when an earlier line, in the order of
 (doc_id, line number), has a Jaccard similarity of at least ``percent``; the
 earlier line counts even if it is removed itself, so the result depends on no
-order of processing.
+order of processing. Words are cut and sorted in Arrow batches inside the scan's
+tasks; every join, group and filter is a DataFrame function.
 
-1. Texts are cut into words once; each line's set of 64-bit word hashes is
-   written to the shared folder, and all else reads that.
-2. Word counts, in ``BUCKETS`` numbers whatever the corpus holds, give each word
+1. Word counts, in ``BUCKETS`` numbers whatever the corpus holds, give each word
    a rarity level. A line's prefix is its n - ceil(t n) + 2 rarest words.
-3. Lines with equal sets collapse to their first place by partial aggregation:
+2. Lines with equal sets collapse to their first place by partial aggregation:
    a line that a third of all documents share goes on as one row.
-4. Two similar lines share a word among the first n - ceil(t n) + 1 of each. In
-   a first round every line meets only the ``LEADERS`` earliest lines of each
-   such word, and is verified against the leader that it shares most words with.
-   This settles groups of near copies with one pair a line.
-5. Only the lines left open then meet earlier lines by a shared word, where
-   lengths, positions and parities of the sets allow the similarity. Words by
+3. In a first round every line meets the ``LEADERS`` earliest lines of each of
+   ``PICKS`` words of its prefix, chosen by least hash so that similar lines
+   choose alike, and is verified against the leader that it meets most often.
+   This settles most of a group of near copies with one pair a line.
+4. Two similar lines share a word among the first n - ceil(t n) + 1 of each. Only
+   the lines left open meet earlier lines by such a word, where lengths,
+   positions and parities of the sets allow the similarity. Words by
    which more than ``DENSE`` lines meet are refined: similar lines share two
    words among the whole prefix, so those lines meet by the first shared word
    and any later one.
-6. Candidates are verified on full sets.
+5. Candidates are verified on full sets, cut again from their texts.
 
-Sets are told apart by a 64-bit hash of their words' hashes.
+Sets are told apart by a 64-bit hash of their words' hashes, words by 56 bits.
 
 Defined results: lines without a word are kept and never compared; a null text
 is the empty text; rows with a null doc_id take no part and keep their lines;
 rows that repeat a doc_id are one document, whose lines have equal places (of
-two texts under one doc_id, lines of the same number and place do not remove
-each other); an empty table gives an empty table; other columns pass through.
+two texts under one doc_id, lines of one number do not remove each other); an
+empty table gives an empty table; other columns pass through.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import discard, materialize, scratch, words
+from ._common import discard, materialize, scratch
+from .word_sets import Words, batches, line_sets, numbered
 
 PERCENT = 80
-#: Buckets of words whose counts tell how rare a word is.
+#: Buckets of words whose counts tell how rare a word is; a power of two.
 BUCKETS = 1 << 18
 #: Lines that meet by one word before a second word is asked for.
 DENSE = 256
 LEADERS = 2
-#: Words of 64 bits that tell which sets take part in verification.
-MEMBERS = 1 << 16
+PICKS = 4
+#: Bits of the table that tells which places take part in verification; a power of two.
+PLACES = 1 << 23
 
 
-def _line_words(line: Column) -> Column:
-    """The words of a line: most lines hold no white space but spaces, and need no regular expression."""
-    return F.when(line.rlike(r"[\x09-\x0D]"), words(line)).otherwise(F.array_remove(F.split(line, " ", -1), ""))
+def _least(n: Column, percent: int) -> Column:
+    """ceil(percent n / 100), in integers."""
+    return F.floor((n * percent + 99) / 100).cast("int")
 
 
-def _parity(keys: Column) -> Column:
-    """64 bits, each the parity of the words that fall on it: sets that differ in d words differ in at most d bits."""
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
+def _texts(docs: DataFrame, text: str) -> DataFrame:
+    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
-def _least(n: Column, percent: int) -> Column:
-    """ceil(percent n / 100), in integers."""
-    return F.floor((n * percent + 99) / 100).cast("int")
+def _levels(docs: DataFrame, text: str) -> np.ndarray:
+    """For each bucket of words twice the binary logarithm of its count; a table of fixed size comes to the driver."""
+    buckets = BUCKETS
+
+    def counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, total = Words(), np.zeros(buckets, np.int64)
+        for batch in rows:
+            texts = batch.column("text").to_pylist()
+            for part in batches(texts):
+                total += np.bincount((words(texts[part])[0] & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+        at = np.flatnonzero(total)
+        for low in range(0, len(at), 1 << 16):
+            some = at[low: low + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["bucket", "n"])
+
+    counts = _texts(docs, text).mapInArrow(counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    n = np.zeros(buckets, np.int64)
+    n[counts["bucket"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+    return np.minimum(2 * np.log2(n + 1.0), 126).astype(np.uint8)
+
+
+def lines_of(docs: DataFrame, levels: np.ndarray, percent: int = PERCENT, text: str = "text") -> DataFrame:
+    """doc_id, line_no, id (of the set), n (its size), parity and prefix, for lines with a word.
+
+    The prefix has one word more than a single shared word asks for.
+    """
 
+    def task(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in rows:
+            ids, texts = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("text").to_pylist()
+            for part in batches(texts):
+                hashes, owners, lines = words(texts[part])
+                s = line_sets(hashes, owners, levels, percent)
+                owner, number = numbered(lines, s["line"])
+                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(s["m"])]).astype(np.int32)), pa.array(s["prefix"].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(ids[part][owner]), pa.array(number.astype(np.int32)), pa.array(s["id"].view(np.int64)),
+                    pa.array(s["n"].astype(np.int32)), pa.array(s["parity"].view(np.int64)), prefix,
+                ], ["doc_id", "line_no", "id", "n", "parity", "prefix"])
 
-def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, line_no, id (of the set) and keys (the sorted hashes of its words), for lines with a word."""
-    split = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("line_no", "line"))
-    # The filter names the line, not its keys: it would else compute them a second time below.
-    keyed = split.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("keys", F.sort_array(F.array_distinct(F.transform(_line_words(F.col("line")), lambda w: F.xxhash64(w)))))
-    return keyed.select("doc_id", "line_no", F.xxhash64("keys").alias("id"), "keys")
+    return _texts(docs, text).mapInArrow(task, "doc_id long, line_no int, id long, n int, parity long, prefix array<long>")
 
 
-def _levels(lines: DataFrame) -> DataFrame:
-    """One row: for each bucket of words, twice the binary logarithm of its count, in the top byte of a long."""
-    slots = lines.sparkSession.range(0, BUCKETS, 1, 4).select(F.col("id").cast("int").alias("bucket"), F.lit(0).alias("one"))
-    found = lines.select(F.explode("keys").alias("h")).select(F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket"), F.lit(1).alias("one"))
-    counts = materialize(found.unionByName(slots).groupBy("bucket").agg(F.sum("one").alias("n")), "line-counts")
-    level = F.shiftleft(F.least(F.floor(2 * F.log2(F.col("n") + 1.0)), F.lit(126)).cast("long"), 56)
-    return counts.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", level.alias("level")))), lambda x: x["level"]).alias("levels"))
+def _place_bit(doc_id: np.ndarray, line_no: np.ndarray, bits: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((doc_id.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line_no.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(20)) & np.uint64(bits - 1)
 
 
-def _prefixed(lines: DataFrame, percent: int) -> DataFrame:
-    """id, place, n (size of the set), parity and prefix of each line; the prefix has one word more than a single shared word asks for."""
-    n = F.size("keys")
-    # The table is named before it is used: a subquery cannot be written inside a function of functions.
-    tabled = lines.withColumn("levels", F.array(_levels(lines).scalar()))
-    ordered = F.sort_array(F.get(F.transform("levels", lambda table: F.transform(
-        "keys", lambda h: F.get(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 8))
-    )), F.lit(0)))
-    return tabled.select("id", "doc_id", "line_no", n.alias("n"), _parity(F.col("keys")).alias("parity"), F.slice(ordered, F.lit(1), n - _least(n, percent) + 2).alias("prefix"))
+def _full_sets(pairs: DataFrame, first: DataFrame, docs: DataFrame, levels: np.ndarray, text: str) -> DataFrame:
+    """(rank, place, keys) of the sets that pairs name, cut again from the texts at their places.
+
+    A table of fixed size tells most places that take no part; the join decides.
+    """
+    named = pairs.select(F.explode(F.array("first", "later")).alias("rank")).distinct()
+    wanted = materialize(first.select("rank", "id", "doc_id", "line_no").join(named.hint("merge"), "rank", "left_semi"), "line-wanted")
+    n_bits = PLACES
+
+    def marked(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: list[np.ndarray] = []
+        for batch in rows:
+            seen.append(_place_bit(batch.column("doc_id").to_numpy(), batch.column("line_no").to_numpy(), n_bits).astype(np.int64))
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(seen)))], ["bit"])
+
+    slots = wanted.select("doc_id", "line_no").mapInArrow(marked, "bit long").groupBy(F.shiftright("bit", 6).alias("slot")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS INT))")).alias("bits")).toPandas()
+    word = np.zeros(n_bits // 64, np.int64)
+    word[slots["slot"].to_numpy(np.int64)] = slots["bits"].to_numpy(np.int64)
+    table = word.tobytes()
+
+    def task(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, bits = Words(), np.frombuffer(table, np.uint8)
+        for batch in rows:
+            ids, texts = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("text").to_pylist()
+            for part in batches(texts):
+                hashes, owners, lines = words(texts[part])
+                every = np.arange(int(lines.sum()))
+                owner, number = numbered(lines, every)
+                at = _place_bit(ids[part][owner], number, n_bits).astype(np.int64)
+                takes = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                some = takes[owners]
+                s = line_sets(hashes[some], owners[some], levels, 100)
+                line = s["line"]
+                keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(s["n"])]).astype(np.int32)), pa.array(s["keys"].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[part][owner[line]]), pa.array(number[line].astype(np.int32)), pa.array(s["id"].view(np.int64)), keys], ["doc_id", "line_no", "id", "keys"])
+
+    found = _texts(docs, text).mapInArrow(task, "doc_id long, line_no int, id long, keys array<long>")
+    # A repeated doc_id may have another text at the place, which is another set.
+    met = found.join(wanted.hint("merge"), ["id", "doc_id", "line_no"]).dropDuplicates(["rank"])
+    return materialize(met.select("rank", F.struct("doc_id", "line_no").alias("place"), "keys"), "line-full")
 
 
 #: What travels with a word: of the word 32 bits, which can only add candidates, and size and position as one number.
@@ -118,57 +183,46 @@ def _may(a: str, b: str, percent: int, unit: int = 1) -> Column:
 
 
 def _led(first: DataFrame, percent: int) -> DataFrame:
-    """later, with first, that of the earliest sets of its words with which it shares most of them, and ``at``, where its words are that more than ``DENSE`` sets share."""
-    group = Window.partitionBy("token").orderBy("rank")
-    so_far, every = group.rowsBetween(Window.unboundedPreceding, Window.currentRow), group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = _postings(first, percent, F.col("n")).withColumns({f"l{k}": F.nth_value(F.struct("rank", "ni", "parity"), k + 1).over(so_far) for k in range(LEADERS)})
-    # A place of a dense word goes along as one more row, without a leader.
-    dense = F.when(F.count(F.lit(1)).over(every) > DENSE, F.struct(F.lit(None).cast("long").alias("rank"), "ni", "parity"))
-    met = rows.withColumn("dense", dense).select("rank", "ni", "parity", F.explode(F.array(*[f"l{k}" for k in range(LEADERS)], "dense")).alias("l"))
-    met = met.where(F.col("l").isNotNull() & (F.col("l.rank").isNull() | (F.col("l.rank") < F.col("rank")) & _may("", "l.", percent)))
-    met = met.select(F.col("rank").alias("later"), F.col("l.rank").alias("first"), _at("ni").alias("i")).repartition("later")
-    shared = met.groupBy("later", "first").agg(F.count(F.lit(1)).alias("shared"), F.collect_list(F.when(F.col("first").isNull(), F.col("i"))).alias("at"))
-    return shared.groupBy("later").agg(F.max(F.when(F.col("first").isNotNull(), F.struct("shared", "first"))).alias("b"), F.max("at").alias("at")).select(F.col("b.first").alias("first"), "later", "at")
-
-
-def _open_pairs(first: DataFrame, percent: int) -> DataFrame:
+    """(first, later): each set with that of the earliest sets of its chosen words which it meets most often."""
+    short = F.slice("prefix", F.lit(1), F.col("n") - _least(F.col("n"), percent) + 1)
+    picks = F.array(*[F.array_min(F.transform(short, lambda t, k=k: F.hash(t, F.lit(k)))) for k in range(PICKS)])
+    rows = first.select("rank", (F.col("n").cast("long") * _SIZED).alias("ni"), "parity", F.posexplode(picks).alias("k", "token"))
+    group = Window.partitionBy("k", "token").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("led", F.array(*[F.nth_value(F.struct("rank", "ni", "parity"), k + 1).over(group) for k in range(LEADERS)]))
+    rows = rows.select("rank", "ni", "parity", F.explode("led").alias("l"))
+    met = rows.where(F.col("l").isNotNull() & (F.col("l.rank") < F.col("rank")) & _may("", "l.", percent)).select(F.col("rank").alias("later"), F.col("l.rank").alias("first"))
+    shared = met.repartition("later").groupBy("later", "first").agg(F.count(F.lit(1)).alias("shared"))
+    return shared.groupBy("later").agg(F.max(F.struct("shared", "first")).alias("b")).select("b.first", "later")
+
+
+def _dense(first: DataFrame, percent: int) -> DataFrame:
+    """Words (token) by which more than ``DENSE`` sets meet."""
+    return _postings(first, percent, F.col("n")).groupBy("token").count().where(F.col("count") > DENSE).select("token")
+
+
+def _open_pairs(first: DataFrame, dense: DataFrame, percent: int) -> DataFrame:
     """(first, later): candidates of the sets that are ``open``, with earlier sets of all kinds."""
 
     def meet(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("token"))).where(F.col("members") > 1)
-        a, b = rows.alias("a"), rows.where(F.shiftright("ni", 31).bitwiseAND(F.lit(1)) == 1).alias("b")
-        allowed = (F.col("a.token") == F.col("b.token")) & (F.col("a.rank") < F.col("b.rank")) & _may("a.", "b.", percent, 2)
-        return a.join(b.hint("merge"), allowed).select(F.col("a.rank").alias("first"), F.col("b.rank").alias("later"))
+        # Openness is part of the order, and so of the join: as a filter it would make a second shuffle of one side.
+        open_ = F.shiftright("b.ni", 31).bitwiseAND(F.lit(1)) == 1
+        allowed = (F.col("a.token") == F.col("b.token")) & (F.col("a.rank") < F.when(open_, F.col("b.rank")).otherwise(-1)) & _may("a.", "b.", percent, 2)
+        return rows.alias("a").hint("merge").join(rows.alias("b").hint("merge"), allowed).select(F.col("a.rank").alias("first"), F.col("b.rank").alias("later"))
 
-    # Openness is the last bit of the size, so that both sides of the join are one shuffle.
+    # Openness is the last bit of the size.
     m = F.col("n") * 2 + F.col("open").cast("int")
-    one = _postings(first.withColumn("at", F.coalesce("at", F.array().cast("array<int>"))), percent, m, "at").where(~F.array_contains("at", _at("ni"))).drop("at")
+    rows = _postings(first, percent, m)
+    one = rows.join(dense, "token", "left_anti")
     # A second shared word, from the whole prefix, tells apart the lines of a word that very many share.
-    two = first.where(F.size("at") > 0).select("rank", m.alias("n"), "parity", "prefix", F.explode("at").alias("i"))
+    at = rows.join(dense, "token", "left_semi").select("rank", _at("ni").alias("i"))
+    two = first.select("rank", m.alias("n"), "parity", "prefix").join(at, "rank")
     two = two.select("rank", "n", "parity", "i", F.get("prefix", F.col("i")).alias("w"), F.explode(F.slice("prefix", F.col("i") + 2, F.size("prefix"))).alias("v"))
     return meet(one).unionByName(meet(_narrow(two.withColumn("token", F.xxhash64("w", "v"))))).distinct()
 
 
-def _full_sets(pairs: DataFrame, first: DataFrame, lines: DataFrame) -> DataFrame:
-    """(rank, place, keys) of the sets that pairs name.
-
-    A bitmap of fixed size keeps most other lines out of the shuffle; where very many sets take part it keeps out fewer.
-    """
-    spark = pairs.sparkSession
-    named = pairs.select(F.explode(F.array("first", "later")).alias("rank")).distinct()
-    wanted = materialize(first.select("rank", "id", F.struct("doc_id", "line_no").alias("place")).join(named.hint("merge"), "rank", "left_semi"), "line-wanted")
-    slot = F.shiftrightunsigned("id", 6).bitwiseAND(F.lit(MEMBERS - 1)).cast("int")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("id").bitwiseAND(F.lit(63)).cast("int"))
-    every = spark.range(0, MEMBERS, 1, 4).select(F.col("id").cast("int").alias("slot"), F.lit(0).cast("long").alias("bits"))
-    bits = wanted.select(slot.alias("slot"), bit.alias("bits")).unionByName(every).groupBy("slot").agg(F.bit_or("bits").alias("bits"))
-    table = bits.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "bits"))), lambda x: x["bits"]).alias("bits")).scalar()
-    near = lines.where(F.get(table, slot).bitwiseAND(bit) != 0).select("id", "keys")
-    return materialize(near.join(wanted.hint("merge"), "id").dropDuplicates(["rank"]).select("rank", "place", "keys"), "line-full")
-
-
-def _removed(pairs: DataFrame, first: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+def _removed(pairs: DataFrame, first: DataFrame, docs: DataFrame, levels: np.ndarray, percent: int, text: str) -> DataFrame:
     """Ranks of the later sets of candidates (first, later) that are similar."""
-    sets = _full_sets(pairs, first, lines)
+    sets = _full_sets(pairs, first, docs, levels, text)
     side = lambda name, x: sets.select(F.col("rank").alias(name), F.col("keys").alias(x), F.col("place").alias(f"p{x}"))
     common = F.size(F.array_intersect("x", "y"))
     found = pairs.join(side("first", "x"), "first").join(side("later", "y"), "later").where(
@@ -180,19 +234,19 @@ def repeats(docs: DataFrame, percent: int = PERCENT, text: str = "text") -> tupl
     """All lines with a word (doc_id, line_no, id), and those of them to remove (doc_id, line_no)."""
     if not 50 < percent <= 100:
         raise ValueError("percent must be above 50 and at most 100: two shared words are else not certain")
-    lines = materialize(lines_of(docs, text), "line-sets", **{"parquet.dictionary.page.size": 8 << 20})
-    found = _prefixed(lines, percent).groupBy("id").agg(F.min(F.struct("doc_id", "line_no", "n", "parity", "prefix")).alias("f"), F.count(F.lit(1)).alias("copies"))
+    levels = _levels(docs, text)
+    lines = materialize(lines_of(docs, levels, percent, text), "line-sets")
+    found = lines.groupBy("id").agg(F.min(F.struct("doc_id", "line_no", "n", "parity", "prefix")).alias("f"), F.count(F.lit(1)).alias("copies"))
     found = materialize(found.select("id", "copies", "f.*"), "line-first")
     # One number stands for a set from here on: numbers in the order of first places.
     ordered = found.repartitionByRange("doc_id", "line_no").sortWithinPartitions("doc_id", "line_no", "id")
     first = materialize(ordered.withColumn("rank", F.monotonically_increasing_id()), "line-ranked")
     discard(docs.sparkSession, "line-first")
-    led = materialize(_led(first, percent), "line-led")
-    settled = _removed(led.where(F.col("first").isNotNull()).select("first", "later"), first, lines, percent)
-    state = led.select(F.col("later").alias("rank"), "at").join(settled.withColumn("gone", F.lit(True)), "rank", "left")
-    flagged = first.join(state, "rank", "left").withColumn("open", F.col("gone").isNull())
-    pairs = materialize(_open_pairs(flagged, percent), "line-pairs")
-    removed = settled.unionByName(_removed(pairs, first, lines, percent)).withColumn("similar", F.lit(True))
+    settled = _removed(materialize(_led(first, percent), "line-led"), first, docs, levels, percent, text)
+    dense = materialize(_dense(first, percent), "line-dense")
+    flagged = first.join(settled.withColumn("gone", F.lit(True)), "rank", "left").withColumn("open", F.col("gone").isNull())
+    pairs = materialize(_open_pairs(flagged, dense, percent), "line-pairs")
+    removed = settled.unionByName(_removed(pairs, first, docs, levels, percent, text)).withColumn("similar", F.lit(True))
 
     # A line goes if its set is similar to an earlier one, or if it is not the first of its set.
     known = first.select("rank", "id", "copies", "doc_id", "line_no").join(removed, "rank", "left").where("copies > 1 OR similar")

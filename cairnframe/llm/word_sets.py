@@ -1,0 +1,120 @@
+"""Words of a batch of texts as 64-bit hashes, and the word sets of their lines, with whole-array operations.
+
+A word's hash is a polynomial of random numbers, one for each byte value, at
+an odd base: two sums of a running total give it, so no word becomes an object.
+Arrays take some 40 bytes for each byte of a piece; a piece has about ``PIECE``
+bytes, or one word if that is longer.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+
+PIECE = 1 << 16
+
+_RNG = np.random.default_rng(77001)
+_BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
+_BASE = int(_RNG.integers(0, 2**63)) * 2 + 1
+_BACK = pow(_BASE, -1, 2**64)
+_IS_SPACE = np.zeros(256, dtype=bool)
+_IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Spread the bits of 64-bit values (the splitmix finaliser)."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Words:
+    """Cuts batches of texts into hashed words; keeps the powers of its base."""
+
+    def __init__(self) -> None:
+        self.powers = self.back = np.ones(1, np.uint64)
+
+    def _reach(self, n: int) -> None:
+        if len(self.powers) < n:
+            with np.errstate(over="ignore"):
+                self.powers, self.back = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, np.uint64(b))])) for b in (_BASE, _BACK))
+
+    def __call__(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash of each word, number of its line in the batch, number of lines of each text)."""
+        parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        lines = np.array([p.count(b"\n") + 1 for p in parts], dtype=np.int64)
+        data = np.frombuffer(b"\n".join(parts), np.uint8)
+        space = _IS_SPACE[data]
+        hashes, owners, low, before = [], [], 0, 0
+        while low < len(data):
+            high = low + PIECE
+            if high < len(data):
+                rest = space[high:]
+                cut = int(np.argmax(rest))
+                high = high + cut + 1 if rest[cut] else len(data)
+            h, at = self._piece(data[low:high], space[low:high])
+            ends = np.cumsum(data[low:high] == 10, dtype=np.int64)
+            hashes.append(h)
+            owners.append(ends[at] + before)
+            before += int(ends[-1])
+            low = high
+        if not hashes:
+            return np.empty(0, np.uint64), np.empty(0, np.int64), lines
+        return np.concatenate(hashes), np.concatenate(owners), lines
+
+    def _piece(self, data: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
+        starts, ends = edge[0::2], edge[1::2]
+        self._reach(len(data) + 1)
+        with np.errstate(over="ignore"):
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * self.powers[: len(data)], dtype=np.uint64)])
+            return mixed((total[ends] - total[starts]) * self.back[starts]), starts
+
+
+def line_sets(hashes: np.ndarray, owners: np.ndarray, levels: np.ndarray, percent: int) -> dict[str, np.ndarray]:
+    """The distinct words of each line that has one, as keys with the level of rarity on top, rarest first, and what a join needs of them.
+
+    ``line`` names the line, ``keys`` has all keys in a row, ``n`` of them for
+    each line; ``prefix`` has the first n - ceil(percent n / 100) + 2, ``m`` of them.
+    """
+    keys = (levels[(hashes & np.uint64(len(levels) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (hashes >> np.uint64(8))
+    order = np.argsort(keys)
+    line = owners[order]
+    small = line.astype(np.uint16) if len(line) and line.max() < 1 << 16 else line
+    again = np.argsort(small, kind="stable")
+    keys, line = keys[order][again], line[again]
+    fresh = np.ones(len(keys), dtype=bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (line[1:] != line[:-1])
+    keys, line = keys[fresh], line[fresh]
+    start = np.flatnonzero(np.diff(line, prepend=-1))
+    if not len(start):
+        return {"line": line, "keys": keys, "n": line, "id": keys, "parity": keys, "prefix": keys, "m": line}
+    n = np.diff(start, append=len(keys))
+    with np.errstate(over="ignore"):
+        sums = np.add.reduceat(mixed(keys ^ np.uint64(0x5851F42D4C957F2D)), start)
+        found = mixed(sums + n.astype(np.uint64))
+    parity = np.bitwise_xor.reduceat(np.uint64(1) << (keys & np.uint64(63)), start)
+    m = np.minimum(n - (n * percent + 99) // 100 + 2, n)
+    within = np.arange(len(keys)) - np.repeat(start, n) < np.repeat(m, n)
+    return {"line": line[start], "keys": keys, "n": n, "id": found, "parity": parity, "prefix": keys[within], "m": m}
+
+
+def numbered(lines: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text of the batch, number of the line in it) of lines numbered through the batch."""
+    first = np.cumsum(lines) - lines
+    owner = np.searchsorted(first, at, side="right") - 1
+    return owner, at - first[owner]
+
+
+def batches(texts: Iterable, most: int = 1 << 22) -> Iterator[slice]:
+    """Slices of a column of texts of about ``most`` characters."""
+    low, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= most:
+            yield slice(low, i + 1)
+            low, size = i + 1, 0
+    if low < len(texts):
+        yield slice(low, len(texts))
