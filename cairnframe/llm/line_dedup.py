@@ -10,9 +10,9 @@ tasks; every join, group and filter is a DataFrame function.
    a rarity level. A line's prefix is its n - ceil(t n) + 2 rarest words.
 2. Lines with equal sets collapse to their first place by partial aggregation:
    a line that a third of all documents share goes on as one row.
-3. In a first round every line meets the ``LEADERS`` earliest lines of each of
-   ``PICKS`` words of its prefix, chosen by least hash so that similar lines
-   choose alike, and is verified against the leader that it meets most often.
+3. In a first round every line meets the earliest line of each of ``PICKS``
+   words of its prefix, chosen by least hash so that similar lines choose alike,
+   and is verified against the one that it meets most often.
    This settles most of a group of near copies with one pair a line.
 4. Two similar lines share a word among the first n - ceil(t n) + 1 of each. Only
    the lines left open meet earlier lines by such a word, where lengths,
@@ -41,16 +41,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import discard, materialize, scratch
-from .word_sets import Words, batches, line_sets, numbered
+from .word_sets import Words, batches, least_hashes, line_sets, numbered
 
 PERCENT = 80
 #: Buckets of words whose counts tell how rare a word is; a power of two.
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
 #: Lines that meet by one word before a second word is asked for.
 DENSE = 256
-LEADERS = 2
 PICKS = 4
-#: Bits of the table that tells which places take part in verification; a power of two.
+#: Bits of the tables that tell which lines, and which documents, take part in verification; a power of two.
 PLACES = 1 << 23
 
 
@@ -59,6 +58,10 @@ def _least(n: Column, percent: int) -> Column:
     return F.floor((n * percent + 99) / 100).cast("int")
 
 
+def _level(n: np.ndarray | int) -> np.ndarray:
+    return np.minimum(2 * np.log2(n + 1.0), 126).astype(np.uint8)
+
+
 def _texts(docs: DataFrame, text: str) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
@@ -81,7 +84,7 @@ def _levels(docs: DataFrame, text: str) -> np.ndarray:
     counts = _texts(docs, text).mapInArrow(counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     n = np.zeros(buckets, np.int64)
     n[counts["bucket"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
-    return np.minimum(2 * np.log2(n + 1.0), 126).astype(np.uint8)
+    return _level(n)
 
 
 def lines_of(docs: DataFrame, levels: np.ndarray, percent: int = PERCENT, text: str = "text") -> DataFrame:
@@ -101,73 +104,78 @@ def lines_of(docs: DataFrame, levels: np.ndarray, percent: int = PERCENT, text:
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(s["m"])]).astype(np.int32)), pa.array(s["prefix"].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids[part][owner]), pa.array(number.astype(np.int32)), pa.array(s["id"].view(np.int64)),
-                    pa.array(s["n"].astype(np.int32)), pa.array(s["parity"].view(np.int64)), prefix,
-                ], ["doc_id", "line_no", "id", "n", "parity", "prefix"])
+                    pa.array(s["n"].astype(np.int32)), pa.array(s["parity"].view(np.int64)), prefix, *[pa.array(p) for p in least_hashes(s["prefix"], s["m"], PICKS)],
+                ], columns)
 
-    return _texts(docs, text).mapInArrow(task, "doc_id long, line_no int, id long, n int, parity long, prefix array<long>")
+    picks = [f"pick{k}" for k in range(PICKS)]
+    columns = ["doc_id", "line_no", "id", "n", "parity", "prefix", *picks]
+    return _texts(docs, text).mapInArrow(task, "doc_id long, line_no int, id long, n int, parity long, prefix array<long>" + "".join(f", {p} int" for p in picks))
 
 
-def _place_bit(doc_id: np.ndarray, line_no: np.ndarray, bits: int) -> np.ndarray:
+def _bit(doc_id: np.ndarray, line_no: np.ndarray | int, bits: int) -> np.ndarray:
+    """A number below ``bits`` for a place."""
     with np.errstate(over="ignore"):
-        return ((doc_id.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line_no.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(20)) & np.uint64(bits - 1)
+        x = doc_id.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(line_no).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
+        return ((x >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)
 
 
-def _full_sets(pairs: DataFrame, first: DataFrame, docs: DataFrame, levels: np.ndarray, text: str) -> DataFrame:
-    """(rank, place, keys) of the sets that pairs name, cut again from the texts at their places.
-
-    A table of fixed size tells most places that take no part; the join decides.
-    """
-    named = pairs.select(F.explode(F.array("first", "later")).alias("rank")).distinct()
-    wanted = materialize(first.select("rank", "id", "doc_id", "line_no").join(named.hint("merge"), "rank", "left_semi"), "line-wanted")
-    n_bits = PLACES
+def _bitmap(places: DataFrame, bits: int) -> bytes:
+    """A table of ``bits`` bits, with those of the places (doc_id, line_no) set."""
 
     def marked(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: list[np.ndarray] = []
         for batch in rows:
-            seen.append(_place_bit(batch.column("doc_id").to_numpy(), batch.column("line_no").to_numpy(), n_bits).astype(np.int64))
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(seen)))], ["bit"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_bit(batch.column("doc_id").to_numpy(), batch.column("line_no").to_numpy(), bits)))], ["bit"])
+
+    slots = places.mapInArrow(marked, "bit long").groupBy(F.shiftright("bit", 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS INT))")).alias("bits")).toPandas()
+    table = np.zeros(bits // 64, np.int64)
+    table[slots["slot"].to_numpy(np.int64)] = slots["bits"].to_numpy(np.int64)
+    return table.tobytes()
 
-    slots = wanted.select("doc_id", "line_no").mapInArrow(marked, "bit long").groupBy(F.shiftright("bit", 6).alias("slot")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS INT))")).alias("bits")).toPandas()
-    word = np.zeros(n_bits // 64, np.int64)
-    word[slots["slot"].to_numpy(np.int64)] = slots["bits"].to_numpy(np.int64)
-    table = word.tobytes()
+
+def _full_sets(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """(doc_id, line_no, keys) of the lines that pairs name, cut again from their texts.
+
+    Tables of fixed size tell most documents and lines that take no part; the join decides.
+    """
+    ends = [pairs.select(F.col(f"{x}_doc").alias("doc_id"), F.col(f"{x}_line").alias("line_no")) for x in ("first", "later")]
+    wanted = materialize(ends[0].unionByName(ends[1]).distinct(), "line-wanted")
+    bits, none = PLACES, -1
+    tables = _bitmap(wanted, bits), _bitmap(wanted.select("doc_id", F.lit(none).alias("line_no")).distinct(), bits)
+    level = np.zeros(1, np.uint8)
 
     def task(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, bits = Words(), np.frombuffer(table, np.uint8)
+        words, (of_lines, of_docs) = Words(), (np.frombuffer(t, np.uint8) for t in tables)
+        held = lambda table, at: (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
         for batch in rows:
-            ids, texts = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("text").to_pylist()
+            batch = batch.filter(pa.array(held(of_docs, _bit(batch.column("doc_id").to_numpy(), none, bits))))
+            ids, texts = batch.column("doc_id").to_numpy(), batch.column("text").to_pylist()
             for part in batches(texts):
                 hashes, owners, lines = words(texts[part])
-                every = np.arange(int(lines.sum()))
-                owner, number = numbered(lines, every)
-                at = _place_bit(ids[part][owner], number, n_bits).astype(np.int64)
-                takes = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-                some = takes[owners]
-                s = line_sets(hashes[some], owners[some], levels, 100)
+                owner, number = numbered(lines, np.arange(int(lines.sum())))
+                some = held(of_lines, _bit(ids[part][owner], number, bits))[owners]
+                s = line_sets(hashes[some], owners[some], level, 100)
                 line = s["line"]
                 keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(s["n"])]).astype(np.int32)), pa.array(s["keys"].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[part][owner[line]]), pa.array(number[line].astype(np.int32)), pa.array(s["id"].view(np.int64)), keys], ["doc_id", "line_no", "id", "keys"])
 
     found = _texts(docs, text).mapInArrow(task, "doc_id long, line_no int, id long, keys array<long>")
-    # A repeated doc_id may have another text at the place, which is another set.
-    met = found.join(wanted.hint("merge"), ["id", "doc_id", "line_no"]).dropDuplicates(["rank"])
-    return materialize(met.select("rank", F.struct("doc_id", "line_no").alias("place"), "keys"), "line-full")
+    # A repeated doc_id may have two texts, and so two sets of one place.
+    return materialize(found.join(wanted.hint("merge"), ["doc_id", "line_no"], "left_semi").dropDuplicates(["doc_id", "line_no", "id"]).drop("id"), "line-full")
 
 
 #: What travels with a word: of the word 32 bits, which can only add candidates, and size and position as one number.
 _SIZED = 1 << 31
 
 
-def _postings(first: DataFrame, percent: int, n: Column, *more: str) -> DataFrame:
-    """A row for each word of the shorter prefix of each set."""
+def _postings(first: DataFrame, percent: int, n: Column, at_least: int = 0) -> DataFrame:
+    """A row for each word of the shorter prefix of each set, with a level of at least ``at_least``."""
     short = F.slice("prefix", F.lit(1), F.col("n") - _least(F.col("n"), percent) + 1)
-    return _narrow(first.select("rank", n.alias("n"), "parity", *more, F.posexplode(short).alias("i", "token")), *more)
+    rows = first.select("doc_id", "line_no", n.alias("n"), "parity", F.posexplode(short).alias("i", "token"))
+    return _narrow(rows.where(F.col("token") >= at_least << 56) if at_least else rows)
 
 
-def _narrow(rows: DataFrame, *more: str) -> DataFrame:
-    return rows.select("rank", "parity", F.hash("token").alias("token"), (F.col("n").cast("long") * _SIZED + F.col("i")).alias("ni"), *more)
+def _narrow(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "line_no", "parity", F.hash("token").alias("token"), (F.col("n").cast("long") * _SIZED + F.col("i")).alias("ni"))
 
 
 def _at(ni: str) -> Column:
@@ -183,75 +191,83 @@ def _may(a: str, b: str, percent: int, unit: int = 1) -> Column:
 
 
 def _led(first: DataFrame, percent: int) -> DataFrame:
-    """(first, later): each set with that of the earliest sets of its chosen words which it meets most often."""
-    short = F.slice("prefix", F.lit(1), F.col("n") - _least(F.col("n"), percent) + 1)
-    picks = F.array(*[F.array_min(F.transform(short, lambda t, k=k: F.hash(t, F.lit(k)))) for k in range(PICKS)])
-    rows = first.select("rank", (F.col("n").cast("long") * _SIZED).alias("ni"), "parity", F.posexplode(picks).alias("k", "token"))
-    group = Window.partitionBy("k", "token").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("led", F.array(*[F.nth_value(F.struct("rank", "ni", "parity"), k + 1).over(group) for k in range(LEADERS)]))
-    rows = rows.select("rank", "ni", "parity", F.explode("led").alias("l"))
-    met = rows.where(F.col("l").isNotNull() & (F.col("l.rank") < F.col("rank")) & _may("", "l.", percent)).select(F.col("rank").alias("later"), F.col("l.rank").alias("first"))
-    shared = met.repartition("later").groupBy("later", "first").agg(F.count(F.lit(1)).alias("shared"))
-    return shared.groupBy("later").agg(F.max(F.struct("shared", "first")).alias("b")).select("b.first", "later")
+    """Pairs of each set and that of the earliest sets of its chosen words which it meets most often."""
+    picks = F.posexplode(F.array(*[f"pick{k}" for k in range(PICKS)])).alias("k", "token")
+    rows = first.select("doc_id", "line_no", (F.col("n").cast("long") * _SIZED).alias("ni"), "parity", picks)
+    group = Window.partitionBy("k", "token").orderBy("doc_id", "line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("l", F.first(F.struct("doc_id", "line_no", "ni", "parity")).over(group))
+    met = rows.where((F.struct("l.doc_id", "l.line_no") < F.struct("doc_id", "line_no")) & _may("", "l.", percent))
+    met = met.select(F.col("doc_id").alias("later_doc"), F.col("line_no").alias("later_line"), F.col("l.doc_id").alias("first_doc"), F.col("l.line_no").alias("first_line"))
+    shared = met.repartition("later_doc", "later_line").groupBy(*met.columns).agg(F.count(F.lit(1)).alias("shared"))
+    best = shared.groupBy("later_doc", "later_line").agg(F.max(F.struct("shared", "first_doc", "first_line")).alias("b"))
+    return best.select("b.first_doc", "b.first_line", "later_doc", "later_line")
 
 
 def _dense(first: DataFrame, percent: int) -> DataFrame:
-    """Words (token) by which more than ``DENSE`` sets meet."""
-    return _postings(first, percent, F.col("n")).groupBy("token").count().where(F.col("count") > DENSE).select("token")
+    """Words (token) by which more than ``DENSE`` sets meet; their buckets of words are at least as full."""
+    return _postings(first, percent, F.col("n"), int(_level(DENSE))).groupBy("token").count().where(F.col("count") > DENSE).select("token")
 
 
 def _open_pairs(first: DataFrame, dense: DataFrame, percent: int) -> DataFrame:
-    """(first, later): candidates of the sets that are ``open``, with earlier sets of all kinds."""
+    """Candidates of the sets that are ``open``, with earlier sets of all kinds."""
 
     def meet(rows: DataFrame) -> DataFrame:
         # Openness is part of the order, and so of the join: as a filter it would make a second shuffle of one side.
         open_ = F.shiftright("b.ni", 31).bitwiseAND(F.lit(1)) == 1
-        allowed = (F.col("a.token") == F.col("b.token")) & (F.col("a.rank") < F.when(open_, F.col("b.rank")).otherwise(-1)) & _may("a.", "b.", percent, 2)
-        return rows.alias("a").hint("merge").join(rows.alias("b").hint("merge"), allowed).select(F.col("a.rank").alias("first"), F.col("b.rank").alias("later"))
+        before = (F.col("a.doc_id") < F.when(open_, F.col("b.doc_id"))) | (F.col("a.doc_id") == F.when(open_, F.col("b.doc_id"))) & (F.col("a.line_no") < F.col("b.line_no"))
+        allowed = (F.col("a.token") == F.col("b.token")) & before & _may("a.", "b.", percent, 2)
+        return rows.alias("a").hint("merge").join(rows.alias("b").hint("merge"), allowed).select(
+            F.col("a.doc_id").alias("first_doc"), F.col("a.line_no").alias("first_line"), F.col("b.doc_id").alias("later_doc"), F.col("b.line_no").alias("later_line"))
 
     # Openness is the last bit of the size.
     m = F.col("n") * 2 + F.col("open").cast("int")
     rows = _postings(first, percent, m)
     one = rows.join(dense, "token", "left_anti")
     # A second shared word, from the whole prefix, tells apart the lines of a word that very many share.
-    at = rows.join(dense, "token", "left_semi").select("rank", _at("ni").alias("i"))
-    two = first.select("rank", m.alias("n"), "parity", "prefix").join(at, "rank")
-    two = two.select("rank", "n", "parity", "i", F.get("prefix", F.col("i")).alias("w"), F.explode(F.slice("prefix", F.col("i") + 2, F.size("prefix"))).alias("v"))
+    at = rows.join(dense, "token", "left_semi").groupBy("doc_id", "line_no").agg(F.collect_set(_at("ni")).alias("at"))
+    two = first.join(at, ["doc_id", "line_no"]).select("doc_id", "line_no", m.alias("n"), "parity", "prefix", F.explode("at").alias("i"))
+    two = two.select("doc_id", "line_no", "n", "parity", "i", F.get("prefix", F.col("i")).alias("w"), F.explode(F.slice("prefix", F.col("i") + 2, F.size("prefix"))).alias("v"))
     return meet(one).unionByName(meet(_narrow(two.withColumn("token", F.xxhash64("w", "v"))))).distinct()
 
 
-def _removed(pairs: DataFrame, first: DataFrame, docs: DataFrame, levels: np.ndarray, percent: int, text: str) -> DataFrame:
-    """Ranks of the later sets of candidates (first, later) that are similar."""
-    sets = _full_sets(pairs, first, docs, levels, text)
-    side = lambda name, x: sets.select(F.col("rank").alias(name), F.col("keys").alias(x), F.col("place").alias(f"p{x}"))
+def _removed(pairs: DataFrame, docs: DataFrame, percent: int, text: str) -> DataFrame:
+    """Places of the later sets of candidates that are similar to the earlier ones."""
+    sets = _full_sets(pairs, docs, text)
+    side = lambda name, x: sets.select(F.col("doc_id").alias(f"{name}_doc"), F.col("line_no").alias(f"{name}_line"), F.col("keys").alias(x))
     common = F.size(F.array_intersect("x", "y"))
-    found = pairs.join(side("first", "x"), "first").join(side("later", "y"), "later").where(
-        (F.col("px") < F.col("py")) & (common * 100 >= (F.size("x") + F.size("y") - common) * percent))
-    return materialize(found.select(F.col("later").alias("rank")).distinct(), "line-removed")
+    found = pairs.join(side("first", "x"), ["first_doc", "first_line"]).join(side("later", "y"), ["later_doc", "later_line"]).where(
+        common * 100 >= (F.size("x") + F.size("y") - common) * percent)
+    return materialize(found.select(F.col("later_doc").alias("doc_id"), F.col("later_line").alias("line_no")).distinct(), "line-removed")
 
 
 def repeats(docs: DataFrame, percent: int = PERCENT, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """All lines with a word (doc_id, line_no, id), and those of them to remove (doc_id, line_no)."""
+    """All lines with a word (doc_id, line_no, id), and those of them to remove (doc_id, line_no).
+
+    The first place of a set stands for it. Where a repeated doc_id has two texts, two sets may
+    have one place; what is true of either then decides about that place.
+    """
     if not 50 < percent <= 100:
         raise ValueError("percent must be above 50 and at most 100: two shared words are else not certain")
-    levels = _levels(docs, text)
-    lines = materialize(lines_of(docs, levels, percent, text), "line-sets")
-    found = lines.groupBy("id").agg(F.min(F.struct("doc_id", "line_no", "n", "parity", "prefix")).alias("f"), F.count(F.lit(1)).alias("copies"))
-    found = materialize(found.select("id", "copies", "f.*"), "line-first")
-    # One number stands for a set from here on: numbers in the order of first places.
-    ordered = found.repartitionByRange("doc_id", "line_no").sortWithinPartitions("doc_id", "line_no", "id")
-    first = materialize(ordered.withColumn("rank", F.monotonically_increasing_id()), "line-ranked")
-    discard(docs.sparkSession, "line-first")
-    settled = _removed(materialize(_led(first, percent), "line-led"), first, docs, levels, percent, text)
+    spark = docs.sparkSession
+    sets = materialize(lines_of(docs, _levels(docs, text), percent, text), "line-sets")
+    fields = [c for c in sets.columns if c != "id"]
+    found = sets.groupBy("id").agg(F.min(F.struct(*fields)).alias("f"), F.count(F.lit(1)).alias("copies"))
+    first = materialize(found.select("id", "copies", "f.*"), "line-first")
+    lines = materialize(sets.select("doc_id", "line_no", "id"), "line-places")
+    discard(spark, "line-sets")
+    settled = _removed(materialize(_led(first, percent), "line-led"), docs, percent, text)
+    discard(spark, "line-full")
     dense = materialize(_dense(first, percent), "line-dense")
-    flagged = first.join(settled.withColumn("gone", F.lit(True)), "rank", "left").withColumn("open", F.col("gone").isNull())
-    pairs = materialize(_open_pairs(flagged, dense, percent), "line-pairs")
-    removed = settled.unionByName(_removed(pairs, first, docs, levels, percent, text)).withColumn("similar", F.lit(True))
+    flagged = first.drop(*[f"pick{k}" for k in range(PICKS)]).join(settled.withColumn("gone", F.lit(True)), ["doc_id", "line_no"], "left")
+    first = materialize(flagged.withColumn("open", F.col("gone").isNull()).drop("gone"), "line-open")
+    discard(spark, "line-first")
+    pairs = materialize(_open_pairs(first, dense, percent), "line-pairs")
+    removed = settled.unionByName(_removed(pairs, docs, percent, text)).distinct().withColumn("similar", F.lit(True))
 
     # A line goes if its set is similar to an earlier one, or if it is not the first of its set.
-    known = first.select("rank", "id", "copies", "doc_id", "line_no").join(removed, "rank", "left").where("copies > 1 OR similar")
+    known = first.select("id", "copies", "doc_id", "line_no").join(removed, ["doc_id", "line_no"], "left").where("copies > 1 OR similar")
     known = known.select("id", F.col("doc_id").alias("d"), F.col("line_no").alias("l"), "similar")
-    gone = lines.select("doc_id", "line_no", "id").join(known, "id").where("similar OR doc_id <> d OR line_no <> l").select("doc_id", "line_no").distinct()
+    gone = lines.join(known, "id").where("similar OR doc_id <> d OR line_no <> l").select("doc_id", "line_no").distinct()
     return lines, gone
 
 

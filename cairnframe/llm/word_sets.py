@@ -101,6 +101,16 @@ def line_sets(hashes: np.ndarray, owners: np.ndarray, levels: np.ndarray, percen
     return {"line": line[start], "keys": keys, "n": n, "id": found, "parity": parity, "prefix": keys[within], "m": m}
 
 
+def least_hashes(prefix: np.ndarray, m: np.ndarray, picks: int) -> list[np.ndarray]:
+    """For each line ``picks`` 32-bit values, each the least of another hash of its prefix: alike prefixes often have them in common."""
+    start = (np.cumsum(m) - m).astype(np.int64)
+    found = []
+    for k in range(picks):
+        h = (mixed(prefix ^ np.uint64((k + 1) * 0xA0761D6478BD642F % 2**64)) >> np.uint64(32)).astype(np.uint32)
+        found.append((np.minimum.reduceat(h, start) if len(m) else h).view(np.int32))
+    return found
+
+
 def numbered(lines: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text of the batch, number of the line in it) of lines numbered through the batch."""
     first = np.cumsum(lines) - lines
