@@ -45,7 +45,7 @@ from .word_sets import Words, batches, least_hashes, line_sets, numbered
 
 PERCENT = 80
 #: Buckets of words whose counts tell how rare a word is; a power of two.
-BUCKETS = 1 << 20
+BUCKETS = 1 << 18
 #: Lines that meet by one word before a second word is asked for.
 DENSE = 256
 PICKS = 4
