@@ -1,26 +1,26 @@
-"""Line deduplication by an exact set-similarity join.
+"""Line deduplication by an exact set-similarity join, with DataFrame functions only.
 
 A line is its set of words. It is removed when an earlier line, in the order of
 (doc_id, line number), has a Jaccard similarity of at least ``percent``; the
 earlier line counts even if it is removed itself, so the result depends on no
-order of processing. Words are cut and sorted in Arrow batches inside the scan's
-tasks; every join, group and filter is a DataFrame function.
+order of processing.
 
 1. Word counts, in ``BUCKETS`` numbers whatever the corpus holds, give each word
    a rarity level. A line's prefix is its n - ceil(t n) + 2 rarest words.
 2. Lines with equal sets collapse to their first place by partial aggregation:
    a line that a third of all documents share goes on as one row.
-3. In a first round every line meets the earliest line of each of ``PICKS``
-   words of its prefix, chosen by least hash so that similar lines choose alike,
-   and is verified against the one that it meets most often.
-   This settles most of a group of near copies with one pair a line.
+3. In a first round every line meets a few earlier lines, the first and the
+   nearest, that share one of ``PICKS`` words of its prefix, chosen by least hash
+   so that similar lines choose alike; it is verified against the one whose
+   parity is nearest. This settles groups of near copies with one pair a line.
 4. Two similar lines share a word among the first n - ceil(t n) + 1 of each. Only
    the lines left open meet earlier lines by such a word, where lengths,
    positions and parities of the sets allow the similarity. Words by
    which more than ``DENSE`` lines meet are refined: similar lines share two
    words among the whole prefix, so those lines meet by the first shared word
    and any later one.
-5. Candidates are verified on full sets, cut again from their texts.
+5. Candidates are verified on full sets, cut again from their texts, the one of
+   the nearest parity first; the others only where that one is not similar.
 
 Sets are told apart by a 64-bit hash of their words' hashes, words by 56 bits.
 
@@ -33,15 +33,12 @@ empty table gives an empty table; other columns pass through.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import discard, materialize, scratch
-from .word_sets import Words, batches, least_hashes, line_sets, numbered
+from ._common import discard, materialize, scratch, words
 
 PERCENT = 80
 #: Buckets of words whose counts tell how rare a word is; a power of two.
@@ -49,8 +46,21 @@ BUCKETS = 1 << 18
 #: Lines that meet by one word before a second word is asked for.
 DENSE = 256
 PICKS = 4
-#: Bits of the tables that tell which lines, and which documents, take part in verification; a power of two.
-PLACES = 1 << 23
+#: Nearest earlier lines of a chosen word, besides its first.
+NEAREST = 3
+#: 64-bit words of the table that tells which lines take part in verification; a power of two.
+PLACES = 1 << 16
+
+
+def _words(text: Column, more_blanks: str) -> Column:
+    """The words of a text: most hold no white space but spaces (and ends of lines), and need no regular expression."""
+    plain = F.array_remove(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " ", -1), "")
+    return F.when(text.rlike(rf"[\x09{more_blanks}\x0B-\x0D]"), words(text)).otherwise(plain)
+
+
+def _parity(keys: Column) -> Column:
+    """64 bits, each the parity of the words that fall on it: sets that differ in d words differ in at most d bits."""
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def _least(n: Column, percent: int) -> Column:
@@ -58,109 +68,65 @@ def _least(n: Column, percent: int) -> Column:
     return F.floor((n * percent + 99) / 100).cast("int")
 
 
-def _level(n: np.ndarray | int) -> np.ndarray:
-    return np.minimum(2 * np.log2(n + 1.0), 126).astype(np.uint8)
+def _level(n: int) -> int:
+    """Twice the binary logarithm of a count, in seven bits."""
+    return min(math.floor(2 * math.log2(n + 1)), 126)
 
 
 def _texts(docs: DataFrame, text: str) -> DataFrame:
-    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+
+
+def _levels(docs: DataFrame, text: str) -> DataFrame:
+    """One row: for each bucket of words the level of its count, in the top byte of a long."""
+    slots = docs.sparkSession.range(0, BUCKETS, 1, 4).select(F.col("id").cast("int").alias("bucket"), F.lit(0).alias("one"))
+    found = _texts(docs, text).select(F.explode(_words(F.col("text"), "")).alias("w")).select(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket"), F.lit(1).alias("one"))
+    counts = materialize(found.unionByName(slots).groupBy("bucket").agg(F.sum("one").alias("n")), "line-counts")
+    level = F.shiftleft(F.least(F.floor(2 * F.log2(F.col("n") + 1.0)), F.lit(126)).cast("long"), 56)
+    return counts.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", level.alias("level")))), lambda x: x["level"]).alias("levels"))
 
 
-def _levels(docs: DataFrame, text: str) -> np.ndarray:
-    """For each bucket of words twice the binary logarithm of its count; a table of fixed size comes to the driver."""
-    buckets = BUCKETS
+def _split(docs: DataFrame, text: str) -> DataFrame:
+    """doc_id, line_no and line, for lines with a word."""
+    split = _texts(docs, text).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return split.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
-    def counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total = Words(), np.zeros(buckets, np.int64)
-        for batch in rows:
-            texts = batch.column("text").to_pylist()
-            for part in batches(texts):
-                total += np.bincount((words(texts[part])[0] & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
-        at = np.flatnonzero(total)
-        for low in range(0, len(at), 1 << 16):
-            some = at[low: low + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["bucket", "n"])
 
-    counts = _texts(docs, text).mapInArrow(counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    n = np.zeros(buckets, np.int64)
-    n[counts["bucket"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
-    return _level(n)
+def _hashes(line: Column) -> Column:
+    return F.array_distinct(F.transform(_words(line, "\\x0A"), lambda w: F.xxhash64(w)))
 
 
-def lines_of(docs: DataFrame, levels: np.ndarray, percent: int = PERCENT, text: str = "text") -> DataFrame:
+def lines_of(docs: DataFrame, levels: DataFrame, percent: int = PERCENT, text: str = "text") -> DataFrame:
     """doc_id, line_no, id (of the set), n (its size), parity and prefix, for lines with a word.
 
     The prefix has one word more than a single shared word asks for.
     """
-
-    def task(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for batch in rows:
-            ids, texts = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("text").to_pylist()
-            for part in batches(texts):
-                hashes, owners, lines = words(texts[part])
-                s = line_sets(hashes, owners, levels, percent)
-                owner, number = numbered(lines, s["line"])
-                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(s["m"])]).astype(np.int32)), pa.array(s["prefix"].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(ids[part][owner]), pa.array(number.astype(np.int32)), pa.array(s["id"].view(np.int64)),
-                    pa.array(s["n"].astype(np.int32)), pa.array(s["parity"].view(np.int64)), prefix, *[pa.array(p) for p in least_hashes(s["prefix"], s["m"], PICKS)],
-                ], columns)
-
-    picks = [f"pick{k}" for k in range(PICKS)]
-    columns = ["doc_id", "line_no", "id", "n", "parity", "prefix", *picks]
-    return _texts(docs, text).mapInArrow(task, "doc_id long, line_no int, id long, n int, parity long, prefix array<long>" + "".join(f", {p} int" for p in picks))
-
-
-def _bit(doc_id: np.ndarray, line_no: np.ndarray | int, bits: int) -> np.ndarray:
-    """A number below ``bits`` for a place."""
-    with np.errstate(over="ignore"):
-        x = doc_id.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(line_no).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
-        return ((x >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)
-
-
-def _bitmap(places: DataFrame, bits: int) -> bytes:
-    """A table of ``bits`` bits, with those of the places (doc_id, line_no) set."""
-
-    def marked(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_bit(batch.column("doc_id").to_numpy(), batch.column("line_no").to_numpy(), bits)))], ["bit"])
-
-    slots = places.mapInArrow(marked, "bit long").groupBy(F.shiftright("bit", 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS INT))")).alias("bits")).toPandas()
-    table = np.zeros(bits // 64, np.int64)
-    table[slots["slot"].to_numpy(np.int64)] = slots["bits"].to_numpy(np.int64)
-    return table.tobytes()
+    # The table is named before it is used: a subquery cannot be written inside a function of functions.
+    tabled = _split(docs, text).withColumn("levels", F.array(levels.scalar()))
+    keys = F.sort_array(F.get(F.transform("levels", lambda table: F.transform(
+        _hashes(F.col("line")), lambda h: F.get(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 8))
+    )), F.lit(0)))
+    keyed, n = tabled.withColumn("keys", keys), F.size("keys")
+    return keyed.select("doc_id", "line_no", F.xxhash64("keys").alias("id"), n.alias("n"), _parity(F.col("keys")).alias("parity"), F.slice("keys", F.lit(1), n - _least(n, percent) + 2).alias("prefix"))
 
 
 def _full_sets(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """(doc_id, line_no, keys) of the lines that pairs name, cut again from their texts.
 
-    Tables of fixed size tell most documents and lines that take no part; the join decides.
+    A table of fixed size tells most lines that take no part; the join decides.
     """
+    spark = docs.sparkSession
     ends = [pairs.select(F.col(f"{x}_doc").alias("doc_id"), F.col(f"{x}_line").alias("line_no")) for x in ("first", "later")]
     wanted = materialize(ends[0].unionByName(ends[1]).distinct(), "line-wanted")
-    bits, none = PLACES, -1
-    tables = _bitmap(wanted, bits), _bitmap(wanted.select("doc_id", F.lit(none).alias("line_no")).distinct(), bits)
-    level = np.zeros(1, np.uint8)
-
-    def task(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, (of_lines, of_docs) = Words(), (np.frombuffer(t, np.uint8) for t in tables)
-        held = lambda table, at: (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-        for batch in rows:
-            batch = batch.filter(pa.array(held(of_docs, _bit(batch.column("doc_id").to_numpy(), none, bits))))
-            ids, texts = batch.column("doc_id").to_numpy(), batch.column("text").to_pylist()
-            for part in batches(texts):
-                hashes, owners, lines = words(texts[part])
-                owner, number = numbered(lines, np.arange(int(lines.sum())))
-                some = held(of_lines, _bit(ids[part][owner], number, bits))[owners]
-                s = line_sets(hashes[some], owners[some], level, 100)
-                line = s["line"]
-                keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(s["n"])]).astype(np.int32)), pa.array(s["keys"].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[part][owner[line]]), pa.array(number[line].astype(np.int32)), pa.array(s["id"].view(np.int64)), keys], ["doc_id", "line_no", "id", "keys"])
-
-    found = _texts(docs, text).mapInArrow(task, "doc_id long, line_no int, id long, keys array<long>")
+    h = F.xxhash64("doc_id", "line_no")
+    slot = F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(PLACES - 1)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    every = spark.range(0, PLACES, 1, 4).select(F.col("id").cast("int").alias("slot"), F.lit(0).cast("long").alias("bits"))
+    bits = wanted.select(slot.alias("slot"), bit.alias("bits")).unionByName(every).groupBy("slot").agg(F.bit_or("bits").alias("bits"))
+    table = bits.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "bits"))), lambda x: x["bits"]).alias("bits")).scalar()
+    near = _split(docs, text).where(F.get(table, slot).bitwiseAND(bit) != 0).select("doc_id", "line_no", _hashes(F.col("line")).alias("keys"))
     # A repeated doc_id may have two texts, and so two sets of one place.
-    return materialize(found.join(wanted.hint("merge"), ["doc_id", "line_no"], "left_semi").dropDuplicates(["doc_id", "line_no", "id"]).drop("id"), "line-full")
+    return materialize(near.join(wanted.hint("merge"), ["doc_id", "line_no"], "left_semi").dropDuplicates(["doc_id", "line_no", "keys"]), "line-full")
 
 
 #: What travels with a word: of the word 32 bits, which can only add candidates, and size and position as one number.
@@ -190,22 +156,38 @@ def _may(a: str, b: str, percent: int, unit: int = 1) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & overlap & apart
 
 
-def _led(first: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each set and that of the earliest sets of its chosen words which it meets most often."""
-    picks = F.posexplode(F.array(*[f"pick{k}" for k in range(PICKS)])).alias("k", "token")
-    rows = first.select("doc_id", "line_no", (F.col("n").cast("long") * _SIZED).alias("ni"), "parity", picks)
-    group = Window.partitionBy("k", "token").orderBy("doc_id", "line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("l", F.first(F.struct("doc_id", "line_no", "ni", "parity")).over(group))
-    met = rows.where((F.struct("l.doc_id", "l.line_no") < F.struct("doc_id", "line_no")) & _may("", "l.", percent))
-    met = met.select(F.col("doc_id").alias("later_doc"), F.col("line_no").alias("later_line"), F.col("l.doc_id").alias("first_doc"), F.col("l.line_no").alias("first_line"))
-    shared = met.repartition("later_doc", "later_line").groupBy(*met.columns).agg(F.count(F.lit(1)).alias("shared"))
-    best = shared.groupBy("later_doc", "later_line").agg(F.max(F.struct("shared", "first_doc", "first_line")).alias("b"))
+_PAIR = ["first_doc", "first_line", "later_doc", "later_line"]
+
+
+def _pair(a: str, b: str) -> list[Column]:
+    """The places of an earlier and a later set, and the distance of their parities."""
+    named = zip(_PAIR, (f"{a}doc_id", f"{a}line_no", f"{b}doc_id", f"{b}line_no"), strict=True)
+    return [F.col(c).alias(name) for name, c in named] + [F.bit_count(F.col(f"{a}parity").bitwiseXOR(F.col(f"{b}parity"))).alias("far")]
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """For each later set the candidate of the nearest parity."""
+    best = pairs.groupBy("later_doc", "later_line").agg(F.min(F.struct("far", "first_doc", "first_line")).alias("b"))
     return best.select("b.first_doc", "b.first_line", "later_doc", "later_line")
 
 
+def _led(first: DataFrame, percent: int) -> DataFrame:
+    """One pair for each set that meets a like one among the first and the nearest earlier sets of its chosen words."""
+    short = F.slice("prefix", F.lit(1), F.col("n") - _least(F.col("n"), percent) + 1)
+    least = lambda salt: F.array_min(F.transform(short, lambda t: F.hash(t, F.lit(salt))))
+    picks = F.array(*[least(k) for k in range(PICKS)])
+    rows = first.select("doc_id", "line_no", (F.col("n").cast("long") * _SIZED).alias("ni"), "parity", F.posexplode(picks).alias("k", "token"))
+    order, fields = Window.partitionBy("k", "token").orderBy("doc_id", "line_no"), F.struct("doc_id", "line_no", "ni", "parity")
+    lead = F.first(fields).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumns({"l0": lead} | {f"l{k}": F.lag(fields, k).over(order) for k in range(1, NEAREST + 1)})
+    rows = rows.select("doc_id", "line_no", "ni", "parity", F.explode(F.array(*[f"l{k}" for k in range(NEAREST + 1)])).alias("l"))
+    met = rows.where(F.col("l").isNotNull() & (F.struct("l.doc_id", "l.line_no") < F.struct("doc_id", "line_no")) & _may("", "l.", percent))
+    return _nearest(met.select(*_pair("l.", "")))
+
+
 def _dense(first: DataFrame, percent: int) -> DataFrame:
     """Words (token) by which more than ``DENSE`` sets meet; their buckets of words are at least as full."""
-    return _postings(first, percent, F.col("n"), int(_level(DENSE))).groupBy("token").count().where(F.col("count") > DENSE).select("token")
+    return _postings(first, percent, F.col("n"), _level(DENSE)).groupBy("token").count().where(F.col("count") > DENSE).select("token")
 
 
 def _open_pairs(first: DataFrame, dense: DataFrame, percent: int) -> DataFrame:
@@ -216,8 +198,7 @@ def _open_pairs(first: DataFrame, dense: DataFrame, percent: int) -> DataFrame:
         open_ = F.shiftright("b.ni", 31).bitwiseAND(F.lit(1)) == 1
         before = (F.col("a.doc_id") < F.when(open_, F.col("b.doc_id"))) | (F.col("a.doc_id") == F.when(open_, F.col("b.doc_id"))) & (F.col("a.line_no") < F.col("b.line_no"))
         allowed = (F.col("a.token") == F.col("b.token")) & before & _may("a.", "b.", percent, 2)
-        return rows.alias("a").hint("merge").join(rows.alias("b").hint("merge"), allowed).select(
-            F.col("a.doc_id").alias("first_doc"), F.col("a.line_no").alias("first_line"), F.col("b.doc_id").alias("later_doc"), F.col("b.line_no").alias("later_line"))
+        return rows.alias("a").hint("merge").join(rows.alias("b").hint("merge"), allowed).select(*_pair("a.", "b."))
 
     # Openness is the last bit of the size.
     m = F.col("n") * 2 + F.col("open").cast("int")
@@ -230,12 +211,11 @@ def _open_pairs(first: DataFrame, dense: DataFrame, percent: int) -> DataFrame:
     return meet(one).unionByName(meet(_narrow(two.withColumn("token", F.xxhash64("w", "v"))))).distinct()
 
 
-def _removed(pairs: DataFrame, docs: DataFrame, percent: int, text: str) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Places of the later sets of candidates that are similar to the earlier ones."""
-    sets = _full_sets(pairs, docs, text)
     side = lambda name, x: sets.select(F.col("doc_id").alias(f"{name}_doc"), F.col("line_no").alias(f"{name}_line"), F.col("keys").alias(x))
     common = F.size(F.array_intersect("x", "y"))
-    found = pairs.join(side("first", "x"), ["first_doc", "first_line"]).join(side("later", "y"), ["later_doc", "later_line"]).where(
+    found = pairs.select(*_PAIR).join(side("first", "x"), ["first_doc", "first_line"]).join(side("later", "y"), ["later_doc", "later_line"]).where(
         common * 100 >= (F.size("x") + F.size("y") - common) * percent)
     return materialize(found.select(F.col("later_doc").alias("doc_id"), F.col("later_line").alias("line_no")).distinct(), "line-removed")
 
@@ -250,19 +230,22 @@ def repeats(docs: DataFrame, percent: int = PERCENT, text: str = "text") -> tupl
         raise ValueError("percent must be above 50 and at most 100: two shared words are else not certain")
     spark = docs.sparkSession
     sets = materialize(lines_of(docs, _levels(docs, text), percent, text), "line-sets")
-    fields = [c for c in sets.columns if c != "id"]
-    found = sets.groupBy("id").agg(F.min(F.struct(*fields)).alias("f"), F.count(F.lit(1)).alias("copies"))
+    found = sets.groupBy("id").agg(F.min(F.struct("doc_id", "line_no", "n", "parity", "prefix")).alias("f"), F.count(F.lit(1)).alias("copies"))
     first = materialize(found.select("id", "copies", "f.*"), "line-first")
     lines = materialize(sets.select("doc_id", "line_no", "id"), "line-places")
     discard(spark, "line-sets")
-    settled = _removed(materialize(_led(first, percent), "line-led"), docs, percent, text)
+    led = materialize(_led(first, percent), "line-led")
+    settled = _verified(led, _full_sets(led, docs, text), percent)
     discard(spark, "line-full")
     dense = materialize(_dense(first, percent), "line-dense")
-    flagged = first.drop(*[f"pick{k}" for k in range(PICKS)]).join(settled.withColumn("gone", F.lit(True)), ["doc_id", "line_no"], "left")
+    flagged = first.join(settled.withColumn("gone", F.lit(True)), ["doc_id", "line_no"], "left")
     first = materialize(flagged.withColumn("open", F.col("gone").isNull()).drop("gone"), "line-open")
     discard(spark, "line-first")
     pairs = materialize(_open_pairs(first, dense, percent), "line-pairs")
-    removed = settled.unionByName(_removed(pairs, docs, percent, text)).distinct().withColumn("similar", F.lit(True))
+    full, best = _full_sets(pairs, docs, text), materialize(_nearest(pairs), "line-best")
+    found = _verified(best, full, percent)
+    left = pairs.join(found, [F.col("later_doc") == F.col("doc_id"), F.col("later_line") == F.col("line_no")], "left_anti").join(best, _PAIR, "left_anti")
+    removed = settled.unionByName(found).unionByName(_verified(left, full, percent)).distinct().withColumn("similar", F.lit(True))
 
     # A line goes if its set is similar to an earlier one, or if it is not the first of its set.
     known = first.select("id", "copies", "doc_id", "line_no").join(removed, ["doc_id", "line_no"], "left").where("copies > 1 OR similar")
