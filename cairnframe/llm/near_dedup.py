@@ -348,12 +348,14 @@ def block_pairs(rows: DataFrame, size: int) -> DataFrame:
 
 
 def alike(r, percent: int, limit: int) -> list[tuple[int, int]]:
-    """Pairs of components of two packed blocks of marks that a link may join."""
+    """Pairs of components of two packed blocks of marks that a link may join: of every connected group of them a star, which connects the same."""
     of = lambda x: np.frombuffer(x, "<i8")
     p1, p2, s1, s2 = of(r.parts_1), of(r.parts), of(r.sizes_1), of(r.sizes)
     x, y = (np.frombuffer(m, np.uint8).reshape(-1, TREES * DEPTH // 4) for m in (r.sets_1, r.sets))
     x, y = (np.ascontiguousarray(m).view(np.uint64) for m in (x, y))
-    odd, found = np.uint64(0x5555555555555555), set()
+    names = np.unique(np.concatenate([p1, p2]))
+    at1, at2, label = np.searchsorted(names, p1), np.searchsorted(names, p2), np.arange(len(names))
+    odd = np.uint64(0x5555555555555555)
     for low in range(0, len(x), 256):
         part = slice(low, low + 256)
         unlike = np.zeros((len(x[part]), len(y)), np.uint16)
@@ -362,10 +364,22 @@ def alike(r, percent: int, limit: int) -> list[tuple[int, int]]:
             unlike += np.bitwise_count((z | z >> np.uint64(1)) & odd)
         a, b = s1[part, None], s2[None, :]
         i, j = np.nonzero((unlike <= limit) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (p1[part, None] != p2[None, :]))
-        if len(i):
-            u, v = p1[part][i], p2[j]
-            found.update(map(tuple, np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0).tolist()))
-    return sorted(found)
+        label = least_labels(label, at1[part][i], at2[j])
+    others = np.flatnonzero(label != np.arange(len(names)))
+    return [(int(names[label[k]]), int(names[k])) for k in others]
+
+
+def least_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels (each the least index of its group) after groups that the pairs (i, j) name are joined."""
+    while True:
+        u, v = label[i], label[j]
+        differ = u != v
+        if not differ.any():
+            return label
+        i, j = i[differ], j[differ]
+        np.minimum.at(label, np.maximum(u, v)[differ], np.minimum(u, v)[differ])
+        while (label[label] != label).any():
+            label = label[label]
 
 
 def block_links(r, percent: int) -> list[tuple[int, int]]:
