@@ -11,14 +11,14 @@ order of processing.
    a line that a third of all documents share goes on as one row.
 3. In a first round every line meets a few earlier lines, the first and the
    nearest, that share one of ``PICKS`` words of its prefix, chosen by least hash
-   so that similar lines choose alike; it is verified against the one whose
-   parity is nearest. This settles groups of near copies with one pair a line.
+   so that similar lines choose alike; it is verified against the ``TRIED`` whose
+   parities are nearest. This settles groups of near copies with few pairs a line.
 4. Two similar lines share a word among the first n - ceil(t n) + 1 of each. Only
    the lines left open meet earlier lines by such a word, where lengths,
    positions and parities of the sets allow the similarity. Words by
    which more than ``DENSE`` lines meet are refined: similar lines share two
-   words among the whole prefix, so those lines meet by the first shared word
-   and any later one.
+   words among the whole prefix, so those lines meet by the first two that they
+   share.
 5. Candidates are verified on full sets, cut again from their texts, the one of
    the nearest parity first; the others only where that one is not similar.
 
@@ -48,6 +48,10 @@ DENSE = 256
 PICKS = 4
 #: Nearest earlier lines of a chosen word, besides its first.
 NEAREST = 3
+#: Candidates of a line that the first round verifies.
+TRIED = 3
+#: Sets of more words have a wider parity, of WIDE times 64 bits; a power of two.
+LONG, WIDE = 80, 8
 #: 64-bit words of the table that tells which lines take part in verification; a power of two.
 PLACES = 1 << 16
 
@@ -63,6 +67,22 @@ def _parity(keys: Column) -> Column:
     return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
 
 
+def _wide_parity(keys: Column) -> Column:
+    """What ``_parity`` of ``WIDE`` times as many bits adds to it, for sets of more than ``LONG`` words, of which 64 bits tell too little."""
+    part = lambda p: _parity(F.filter(keys, lambda k: F.shiftrightunsigned(k, 6).bitwiseAND(F.lit(WIDE - 1)) == p))
+    return F.when(F.size(keys) > LONG, F.array(*[part(p) for p in range(1, WIDE)]))
+
+
+def _apart(a: str, b: str) -> Column:
+    """A lower bound of the words that two sets do not share."""
+    narrow = F.col(f"{a}parity").bitwiseXOR(F.col(f"{b}parity"))
+    xs = [F.get(f"{a}wide", k).bitwiseXOR(F.get(f"{b}wide", k)) for k in range(WIDE - 1)]
+    rest = narrow
+    for x in xs:
+        rest = rest.bitwiseXOR(x)
+    return F.coalesce(sum((F.bit_count(x) for x in xs), F.bit_count(rest)), F.bit_count(narrow))
+
+
 def _least(n: Column, percent: int) -> Column:
     """ceil(percent n / 100), in integers."""
     return F.floor((n * percent + 99) / 100).cast("int")
@@ -107,7 +127,7 @@ def lines_of(docs: DataFrame, levels: DataFrame, percent: int = PERCENT, text: s
         _hashes(F.col("line")), lambda h: F.get(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 8))
     )), F.lit(0)))
     keyed, n = tabled.withColumn("keys", keys), F.size("keys")
-    return keyed.select("doc_id", "line_no", F.xxhash64("keys").alias("id"), n.alias("n"), _parity(F.col("keys")).alias("parity"), F.slice("keys", F.lit(1), n - _least(n, percent) + 2).alias("prefix"))
+    return keyed.select("doc_id", "line_no", F.xxhash64("keys").alias("id"), n.alias("n"), _parity(F.col("keys")).alias("parity"), _wide_parity(F.col("keys")).alias("wide"), F.slice("keys", F.lit(1), n - _least(n, percent) + 2).alias("prefix"))
 
 
 def _full_sets(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
@@ -136,12 +156,12 @@ _SIZED = 1 << 31
 def _postings(first: DataFrame, percent: int, n: Column, at_least: int = 0) -> DataFrame:
     """A row for each word of the shorter prefix of each set, with a level of at least ``at_least``."""
     short = F.slice("prefix", F.lit(1), F.col("n") - _least(F.col("n"), percent) + 1)
-    rows = first.select("doc_id", "line_no", n.alias("n"), "parity", F.posexplode(short).alias("i", "token"))
+    rows = first.select("doc_id", "line_no", n.alias("n"), "parity", "wide", F.posexplode(short).alias("i", "token"))
     return _narrow(rows.where(F.col("token") >= at_least << 56) if at_least else rows)
 
 
-def _narrow(rows: DataFrame) -> DataFrame:
-    return rows.select("doc_id", "line_no", "parity", F.hash("token").alias("token"), (F.col("n").cast("long") * _SIZED + F.col("i")).alias("ni"))
+def _narrow(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select("doc_id", "line_no", "parity", "wide", F.hash("token").alias("token"), (F.col("n").cast("long") * _SIZED + F.col("i")).alias("ni"), *more)
 
 
 def _at(ni: str) -> Column:
@@ -152,7 +172,8 @@ def _may(a: str, b: str, percent: int, unit: int = 1) -> Column:
     """Whether sizes, positions at the first shared word, and parities allow the similarity; sizes are in units."""
     n, m = (F.shiftright(f"{x}ni", 30 + unit).cast("int") for x in (a, b))
     overlap = F.least(n - _at(f"{a}ni"), m - _at(f"{b}ni")) * (100 + percent) >= (n + m) * percent
-    apart = F.bit_count(F.col(f"{a}parity").bitwiseXOR(F.col(f"{b}parity"))) * (100 + percent) <= (n + m) * (100 - percent)
+    bound = (n + m) * (100 - percent)
+    apart = (F.bit_count(F.col(f"{a}parity").bitwiseXOR(F.col(f"{b}parity"))) * (100 + percent) <= bound) & (_apart(a, b) * (100 + percent) <= bound)
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & overlap & apart
 
 
@@ -162,7 +183,7 @@ _PAIR = ["first_doc", "first_line", "later_doc", "later_line"]
 def _pair(a: str, b: str) -> list[Column]:
     """The places of an earlier and a later set, and the distance of their parities."""
     named = zip(_PAIR, (f"{a}doc_id", f"{a}line_no", f"{b}doc_id", f"{b}line_no"), strict=True)
-    return [F.col(c).alias(name) for name, c in named] + [F.bit_count(F.col(f"{a}parity").bitwiseXOR(F.col(f"{b}parity"))).alias("far")]
+    return [F.col(c).alias(name) for name, c in named] + [_apart(a, b).alias("far")]
 
 
 def _nearest(pairs: DataFrame) -> DataFrame:
@@ -172,17 +193,19 @@ def _nearest(pairs: DataFrame) -> DataFrame:
 
 
 def _led(first: DataFrame, percent: int) -> DataFrame:
-    """One pair for each set that meets a like one among the first and the nearest earlier sets of its chosen words."""
+    """Pairs of each set and the likest of the first and the nearest earlier sets of its chosen words."""
     short = F.slice("prefix", F.lit(1), F.col("n") - _least(F.col("n"), percent) + 1)
     least = lambda salt: F.array_min(F.transform(short, lambda t: F.hash(t, F.lit(salt))))
     picks = F.array(*[least(k) for k in range(PICKS)])
-    rows = first.select("doc_id", "line_no", (F.col("n").cast("long") * _SIZED).alias("ni"), "parity", F.posexplode(picks).alias("k", "token"))
-    order, fields = Window.partitionBy("k", "token").orderBy("doc_id", "line_no"), F.struct("doc_id", "line_no", "ni", "parity")
+    rows = first.select("doc_id", "line_no", (F.col("n").cast("long") * _SIZED).alias("ni"), "parity", "wide", F.posexplode(picks).alias("k", "token"))
+    order, fields = Window.partitionBy("k", "token").orderBy("doc_id", "line_no"), F.struct("doc_id", "line_no", "ni", "parity", "wide")
     lead = F.first(fields).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     rows = rows.withColumns({"l0": lead} | {f"l{k}": F.lag(fields, k).over(order) for k in range(1, NEAREST + 1)})
-    rows = rows.select("doc_id", "line_no", "ni", "parity", F.explode(F.array(*[f"l{k}" for k in range(NEAREST + 1)])).alias("l"))
+    rows = rows.select("doc_id", "line_no", "ni", "parity", "wide", F.explode(F.array(*[f"l{k}" for k in range(NEAREST + 1)])).alias("l"))
     met = rows.where(F.col("l").isNotNull() & (F.struct("l.doc_id", "l.line_no") < F.struct("doc_id", "line_no")) & _may("", "l.", percent))
-    return _nearest(met.select(*_pair("l.", "")))
+    # At most PICKS * (NEAREST + 1) of a set, of which TRIED are verified.
+    some = met.select(*_pair("l.", "")).groupBy("later_doc", "later_line").agg(F.sort_array(F.collect_set(F.struct("far", "first_doc", "first_line"))).alias("c"))
+    return some.select("later_doc", "later_line", F.explode(F.slice("c", 1, TRIED)).alias("b")).select("b.first_doc", "b.first_line", "later_doc", "later_line")
 
 
 def _dense(first: DataFrame, percent: int) -> DataFrame:
@@ -193,12 +216,11 @@ def _dense(first: DataFrame, percent: int) -> DataFrame:
 def _open_pairs(first: DataFrame, dense: DataFrame, percent: int) -> DataFrame:
     """Candidates of the sets that are ``open``, with earlier sets of all kinds."""
 
-    def meet(rows: DataFrame) -> DataFrame:
-        # Openness is part of the order, and so of the join: as a filter it would make a second shuffle of one side.
+    def meet(a: DataFrame, b: DataFrame, once: Column | None = None) -> DataFrame:
         open_ = F.shiftright("b.ni", 31).bitwiseAND(F.lit(1)) == 1
         before = (F.col("a.doc_id") < F.when(open_, F.col("b.doc_id"))) | (F.col("a.doc_id") == F.when(open_, F.col("b.doc_id"))) & (F.col("a.line_no") < F.col("b.line_no"))
         allowed = (F.col("a.token") == F.col("b.token")) & before & _may("a.", "b.", percent, 2)
-        return rows.alias("a").hint("merge").join(rows.alias("b").hint("merge"), allowed).select(*_pair("a.", "b."))
+        return a.alias("a").hint("merge").join(b.alias("b").hint("merge"), allowed if once is None else allowed & once).select(*_pair("a.", "b."))
 
     # Openness is the last bit of the size.
     m = F.col("n") * 2 + F.col("open").cast("int")
@@ -206,9 +228,15 @@ def _open_pairs(first: DataFrame, dense: DataFrame, percent: int) -> DataFrame:
     one = rows.join(dense, "token", "left_anti")
     # A second shared word, from the whole prefix, tells apart the lines of a word that very many share.
     at = rows.join(dense, "token", "left_semi").groupBy("doc_id", "line_no").agg(F.collect_set(_at("ni")).alias("at"))
-    two = first.join(at, ["doc_id", "line_no"]).select("doc_id", "line_no", m.alias("n"), "parity", "prefix", F.explode("at").alias("i"))
-    two = two.select("doc_id", "line_no", "n", "parity", "i", F.get("prefix", F.col("i")).alias("w"), F.explode(F.slice("prefix", F.col("i") + 2, F.size("prefix"))).alias("v"))
-    return meet(one).unionByName(meet(_narrow(two.withColumn("token", F.xxhash64("w", "v"))))).distinct()
+    two = first.join(at, ["doc_id", "line_no"]).select("doc_id", "line_no", m.alias("n"), "parity", "wide", "prefix", F.explode("at").alias("i"))
+    two = two.select("*", F.posexplode(F.slice("prefix", F.col("i") + 2, F.size("prefix"))).alias("gap", "v"))
+    skipped = F.concat(F.slice("prefix", F.lit(1), F.col("i")), F.slice("prefix", F.col("i") + 2, F.col("gap")))
+    two = two.select("doc_id", "line_no", "n", "parity", "wide", "i", F.xxhash64(F.get("prefix", F.col("i")), "v").alias("token"), skipped.alias("skipped"))
+    # A pair comes from the first two words that it shares, and from no others.
+    first_two = ~F.arrays_overlap("a.skipped", "b.skipped")
+    two = _narrow(two, "skipped")
+    # Among the many lines of a dense word few are open. Elsewhere openness is part of the order only, and both sides are one shuffle.
+    return meet(one, one).unionByName(meet(two, two.where(F.shiftright("ni", 31).bitwiseAND(F.lit(1)) == 1), first_two)).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -230,7 +258,7 @@ def repeats(docs: DataFrame, percent: int = PERCENT, text: str = "text") -> tupl
         raise ValueError("percent must be above 50 and at most 100: two shared words are else not certain")
     spark = docs.sparkSession
     sets = materialize(lines_of(docs, _levels(docs, text), percent, text), "line-sets")
-    found = sets.groupBy("id").agg(F.min(F.struct("doc_id", "line_no", "n", "parity", "prefix")).alias("f"), F.count(F.lit(1)).alias("copies"))
+    found = sets.groupBy("id").agg(F.min(F.struct("doc_id", "line_no", "n", "parity", "wide", "prefix")).alias("f"), F.count(F.lit(1)).alias("copies"))
     first = materialize(found.select("id", "copies", "f.*"), "line-first")
     lines = materialize(sets.select("doc_id", "line_no", "id"), "line-places")
     discard(spark, "line-sets")
