@@ -51,7 +51,7 @@ NEAREST = 3
 #: Candidates of a line that the first round verifies.
 TRIED = 3
 #: Sets of more words have a wider parity, of WIDE times 64 bits; a power of two.
-LONG, WIDE = 80, 8
+LONG, WIDE = 100, 4
 #: 64-bit words of the table that tells which lines take part in verification; a power of two.
 PLACES = 1 << 16
 
