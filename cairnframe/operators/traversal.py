@@ -10,21 +10,21 @@ from ..sources.scratch import checkpointed
 from .objects import json_object, json_string
 
 
-def resolve(wanted: DataFrame, entries: DataFrame, links: int = 0, depth: int = 64) -> DataFrame:
+def resolve(wanted: DataFrame, entries: DataFrame, links: int = 0) -> DataFrame:
     """(path, status, node, rest) of wanted paths, all at once.
 
     ``entries`` has parent, name, kind (dir, object, link, tombstone), node and
     target (of links). Directories consume one segment a round. At an object
     with segments left, those are its inner path (``rest``). A link is followed
-    while the budget lasts, else it is the result with the tail as ``rest``.
+    while the budget lasts, else it is the result with the tail as ``rest``. Rounds
+    end by themselves: each takes a segment, or a link of the budget.
     """
     state = wanted.select("path", F.lit("/").alias("node"), paths.components(F.col("path")).alias("parts"), F.lit(links).alias("budget"), F.lit("dir").alias("status"))
-    done = None
-    for _ in range(depth):
-        at_end = state.where((F.size("parts") == 0) | (F.col("status") != "dir"))
-        done = at_end if done is None else done.unionByName(at_end)
-        open_ = state.where((F.size("parts") > 0) & (F.col("status") == "dir"))
-        open_ = checkpointed(open_)
+    done, going = None, (F.size("parts") > 0) & (F.col("status") == "dir")
+    while True:
+        state = checkpointed(state)
+        done = state.where(~going) if done is None else done.unionByName(state.where(~going))
+        open_ = state.where(going)
         if open_.isEmpty():
             break
         e = entries.select(F.col("parent").alias("e_parent"), F.col("name").alias("e_name"), F.col("kind").alias("e_kind"), F.col("node").alias("e_node"), F.col("target").alias("e_target"))

@@ -50,16 +50,16 @@ def test_canonical_json_and_objects(spark):
 
 
 def test_overlay(spark):
-    base = spark.createDataFrame([("d", "base_file", "f"), ("d", "base_dir", "g")], "parent string, name string, target string")
-    upper = spark.createDataFrame([("d", "base_dir", "tombstone", None), ("d", "upper_dir", "inode", "901")], "parent string, name string, kind string, target string")
-    assert rows(overlay.merge(base, upper), "name", "target") == [("base_file", "f"), ("upper_dir", "901")]
-    names = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
-    assert [[r.name for r in overlay.page(names, a, 2).collect()] for a in (None, "b", "c")] == [["a", "b"], ["c"], []]
+    base = spark.createDataFrame([("p", "keep", "k0"), ("p", "gone", "g0"), ("p", "swap", "s0")], "parent string, name string, target string")
+    upper = spark.createDataFrame([("p", "gone", "tombstone", None), ("p", "swap", "object", "s1"), ("p", "fresh", "inode", "17")], "parent string, name string, kind string, target string")
+    assert rows(overlay.merge(base, upper), "name", "target", "origin") == [("fresh", "17", "upper"), ("keep", "k0", "base"), ("swap", "s1", "upper")]
+    names = spark.createDataFrame([("Z",), ("m",), ("é",)], "name string")
+    assert [[r.name for r in overlay.page(names, a, 2).collect()] for a in (None, "m", "é")] == [["Z", "m"], ["é"], []]
     assert overlay.page(names, None, 0).count() == 3
-    free = overlay.free_names(spark.createDataFrame([("d", "base_dir"), ("d", "base_file"), ("d", "new")], "parent string, name string"), base, upper)
-    assert rows(free) == [("d", "base_dir"), ("d", "new")]
-    moved = overlay.rename_subtree(spark.createDataFrame([("/a/x",), ("/b/x",), ("/b",), ("/ab",)], "path string"), "/a", "/b")
-    assert rows(moved) == [("/ab",), ("/b/x",)]
+    free = overlay.free_names(spark.createDataFrame([("p", "gone"), ("p", "keep"), ("p", "other")], "parent string, name string"), base, upper)
+    assert rows(free) == [("p", "gone"), ("p", "other")]
+    moved = overlay.rename_subtree(spark.createDataFrame([("/in/1",), ("/out/1",), ("/out",), ("/inner",)], "path string"), "/in", "/out")
+    assert rows(moved) == [("/inner",), ("/out/1",)]
 
 
 def test_ledger(spark):
@@ -71,19 +71,45 @@ def test_ledger(spark):
     assert rows(ledger.reclaim_leases(nodes, 5), "i", "state", "reclaimed") == [(1, "Cooling", True), (2, "Working", False)]
 
 
-INDEX = [("test-pkg", "1.0.0", "meta1", "stable"), ("test-pkg", "1.1.0", "meta2", "stable"), ("test-pkg", "1.2.0", "meta3", "beta"), ("test-pkg", "2.0.0", "meta4", "alpha"),
-         ("test-pkg", "0.9.0", "meta5", "old"), ("test-pkg2", "0.4.0", "meta6", "alpha"), ("test-pkg2", "0.4.0+build250724", "meta7", None)]
+INDEX = [("viewer", "3.1.4", "m-a", "lts"), ("viewer", "3.2.0-rc.1", "m-b", "next"), ("viewer", "3.2.0", "m-c", None), ("viewer", "10.0.0", "m-d", "next"),
+         ("viewer", "0.9.9", "m-e", "lts"), ("solver", "2.0.0+hot.2", "m-f", None), ("solver", "2.0.0", "m-g", "lts")]
+
+
+def index_of(spark, rows_):
+    return spark.createDataFrame(rows_, "pkg_name string, version string, metaobjid string, tag string").withColumn("version_int", versions.pack(F.col("version")))
 
 
 def test_package_index(spark):
-    index = spark.createDataFrame(INDEX, "pkg_name string, version string, metaobjid string, tag string").withColumn("version_int", versions.pack(F.col("version")))
-    assert rows(packages.latest(index), "pkg_name", "metaobjid") == [("test-pkg", "meta4"), ("test-pkg2", "meta7")]
-    one = index.where("pkg_name = 'test-pkg'")
+    index = index_of(spark, INDEX)
+    assert rows(packages.latest(index), "pkg_name", "metaobjid") == [("solver", "m-f"), ("viewer", "m-d")]
+    one = index.where("pkg_name = 'viewer'")
     best = lambda req, tag=None: packages.latest(packages.matching(one, req, tag)).first().metaobjid
-    assert (best(">=1.0.0, <=1.2.0"), best(">1.9.0"), best("*", "beta")) == ("meta3", "meta4", "meta3")
-    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "d"), ("c", "e"), ("d", "e")], "src string, dst string")
-    got = packages.closure(edges, spark.createDataFrame([("a",), ("c",)], "node string"))
-    assert rows(got, "start", "node", "depth", "cycle") == [("a", "a", 0, True), ("a", "b", 1, True), ("c", "c", 0, False), ("c", "d", 1, False), ("c", "e", 1, False)]
+    assert (best("<10"), best(">=3.2.0, <=3.9"), best("*", "lts")) == ("m-c", "m-c", "m-a")
+
+
+def test_package_lookup(spark):
+    index = index_of(spark, INDEX)
+    wanted = ["viewer", "viewer#^3.1:lts", "viewer#3.2.0", "viewer#*:next", "viewer#>=11.0", "solver#m-g", "solver#none", "nobody", "a#b#c#d"]
+    asked = spark.createDataFrame([(w,) for w in wanted], "pkg_id string")
+    # "m-g" is no plain id, so it is a requirement that nothing meets; an id is letters and digits, or typed.
+    assert rows(packages.lookup(index, asked), "pkg_id", "metaobjid") == [("viewer", "m-d"), ("viewer#*:next", "m-d"), ("viewer#3.2.0", "m-c"), ("viewer#^3.1:lts", "m-a")]
+    by_id = index_of(spark, [("viewer", "1.0.0", "cypkg:0a0b", None), ("solver", "1.0.0", "raw1", None)])
+    ids_ = spark.createDataFrame([("viewer#cypkg:0a0b",), ("other#cypkg:0a0b",), ("solver#raw1",), ("solver#1.0.0#raw1",), ("solver#2.0.0#raw1",)], "pkg_id string")
+    assert rows(packages.lookup(by_id, ids_), "pkg_id") == [("solver#1.0.0#raw1",), ("solver#raw1",), ("viewer#cypkg:0a0b",)]
+    chain = packages.lookup_chain([index.where("pkg_name = 'solver'"), index], asked.where("pkg_id IN ('viewer', 'nobody')").unionByName(spark.createDataFrame([("solver",)], "pkg_id string")))
+    assert rows(chain, "pkg_id", "metaobjid", "env") == [("solver", "m-f", 0), ("viewer", "m-d", 1)]
+    assert rows(packages.is_latest_everywhere([index.where("metaobjid IN ('m-c', 'm-f')"), index]), "metaobjid", "is_latest") == [("m-c", False), ("m-f", True)]
+    timed = index.withColumn("update_time", F.ascii(F.substring("metaobjid", 3, 1)))
+    assert rows(packages.by_update_time(timed).where("place = 1"), "metaobjid") == [("m-e",), ("m-g",)]
+
+
+def test_closure(spark):
+    edges = [("p", "q"), ("q", "r"), ("r", "p"), ("s", "t"), ("s", "u"), ("t", "v"), ("u", "v")]
+    long = [(f"n{i:03}", f"n{i + 1:03}") for i in range(90)]
+    got = packages.closure(spark.createDataFrame(edges + long, "src string, dst string"), spark.createDataFrame([("p",), ("s",), ("n000",)], "node string")).collect()
+    found = lambda start: sorted((r.node, r.depth) for r in got if r.start == start)
+    assert found("p") == [("p", 0), ("q", 1), ("r", 2)] and found("s") == [("s", 0), ("t", 1), ("u", 1), ("v", 2)]
+    assert found("n000") == [(f"n{i:03}", i) for i in range(91)] and {r.start for r in got if r.cycle} == {"p"}
 
 
 def test_placement(spark):
@@ -100,16 +126,25 @@ def test_placement(spark):
 
 
 def test_traversal(spark):
-    e = spark.createDataFrame([("/", "a", "dir", "/a", None), ("/a", "x", "dir", "/a/x", None), ("/a/x", "l", "link", None, "../y"), ("/a", "y", "dir", "/a/y", None), ("/a/y", "file", "object", "623", None)],
-                              "parent string, name string, kind string, node string, target string")
-    asked = spark.createDataFrame([("/a/x/l/file",), ("/a/none",), ("/a/y/file/in",)], "path string")
-    assert rows(traversal.resolve(asked, e, links=1), "path", "status", "node", "rest") == [("/a/none", "missing", None, None), ("/a/x/l/file", "object", "623", None), ("/a/y/file/in", "object", "623", "/in")]
+    e = spark.createDataFrame([("/", "top", "dir", "/top", None), ("/top", "left", "dir", "/top/left", None), ("/top/left", "jump", "link", None, "../right"), ("/top", "right", "dir", "/top/right", None),
+                               ("/top/right", "leaf", "object", "o41", None)], "parent string, name string, kind string, node string, target string")
+    asked = spark.createDataFrame([("/top/left/jump/leaf",), ("/top/none",), ("/top/right/leaf/deep/er",)], "path string")
+    assert rows(traversal.resolve(asked, e, links=1), "path", "status", "node", "rest") == [
+        ("/top/left/jump/leaf", "object", "o41", None), ("/top/none", "missing", None, None), ("/top/right/leaf/deep/er", "object", "o41", "/deep/er")]
     link = traversal.resolve(asked.limit(1), e, links=0).first()
-    assert (link.status, link.rest) == ("link", "/file")
-    files = spark.createDataFrame([("/root.bin", 16384), ("/nested/child.bin", 16403)], "path string, size long")
-    assert rows(traversal.rollup(files)) == [("/", 1, 16384, 32787), ("/nested", 1, 16403, 16403)]
-    chain = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "c"), ("z", "unknown")], "msg_id string, reply_to string")
-    assert rows(traversal.thread_depth(chain)) == [("a", "a", 0), ("b", "a", 1), ("c", "a", 2), ("d", "a", 3), ("z", "z", 0)]
+    assert (link.status, link.rest) == ("link", "/leaf")
+    chain = spark.createDataFrame([("m1", None), ("m2", "m1"), ("m3", "m2"), ("m4", "m3"), ("m9", "lost")], "msg_id string, reply_to string")
+    assert rows(traversal.thread_depth(chain)) == [("m1", "m1", 0), ("m2", "m1", 1), ("m3", "m1", 2), ("m4", "m1", 3), ("m9", "m9", 0)]
+    files = spark.createDataFrame([("/a.txt", 5), ("/d/b.txt", 7), ("/d/e/c.txt", 11)], "path string, size long")
+    assert rows(traversal.rollup(files)) == [("/", 1, 5, 23), ("/d", 1, 7, 18), ("/d/e", 1, 11, 11)]
+
+
+def test_deep_paths(spark):
+    deep = "".join(f"/s{i}" for i in range(70))
+    at = ["/"] + [deep[: deep.index(f"/s{i}") + len(f"/s{i}")] for i in range(70)]
+    e = spark.createDataFrame([(at[i], f"s{i}", "dir", at[i + 1], None) for i in range(70)], "parent string, name string, kind string, node string, target string")
+    got = traversal.resolve(spark.createDataFrame([(deep,), ("/s0",)], "path string"), e)
+    assert rows(got, "path", "status", "node") == [("/s0", "dir", "/s0"), (deep, "dir", deep)]
 
 
 def test_copy_on_write(spark):
