@@ -129,6 +129,24 @@ def test_line_dedup_by_brute_force(spark, monkeypatch, dense):
         assert out[r.doc_id].text == kept
 
 
+def test_line_dedup_of_long_lines_by_brute_force(spark):
+    """Lines past the width of one parity, copies with few and with many changes, and one id with two texts."""
+    rng = np.random.default_rng(11)
+    vocab = [f"w{i}" for i in range(3000)]
+    base = [list(rng.choice(vocab, n, replace=False)) for n in (60, 130, 260, 400)]
+    texts = []
+    for i in range(60):
+        words = list(base[i % 4])
+        for k in rng.integers(0, len(words), int(len(words) * (0.02 + 0.2 * rng.random()))):
+            words[k] = f"new{i}x{k}"
+        texts.append((i, " ".join(words) + "\nshared footer of all"))
+    docs = spark.createDataFrame([*texts, (7, texts[3][1])], "doc_id long, text string")
+    want, _ = removed_by_brute_force([(r.doc_id, r.text) for r in docs.collect()])
+    assert {(r.doc_id, i) for r in line_dedup.removed_lines(docs).collect() for i in r.removed or []} == want
+    with pytest.raises(ValueError, match="percent"):
+        line_dedup.removed_lines(docs, percent=50)
+
+
 def test_line_dedup_edges(spark):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
     odd = spark.createDataFrame([(None, "a b", 1, "r"), (1, "a b", 1, "r"), (1, "a b", 1, "r"), (2, "b a\n\nnew", 1, "r")], "doc_id long, text string, n_lines int, removed string")
@@ -183,6 +201,29 @@ def test_near_dedup_edges(spark):
     assert sorted(map(repr, (r.doc_id for r in near_dedup.first_of_each(odd).collect()))) == ["0", "1", "2", "None"]
 
 
+def test_near_dedup_of_one_id_with_two_texts(spark):
+    """Both texts of document 1 link it."""
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    docs = spark.createDataFrame([(1, a), (1, b), (5, f"{a} z"), (6, f"{b} z")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in near_dedup.near_duplicates(docs).collect())
+    assert got == [(1, 1), (1, 1), (5, 1), (6, 1)]
+    with pytest.raises(ValueError, match="percent"):
+        near_dedup.near_duplicates(docs, percent=50)
+
+
+def test_least_labels():
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        n, m = (int(x) for x in rng.integers(2, 40, 2))
+        i, j = rng.integers(0, n, m), rng.integers(0, n, m)
+        top = list(range(n))
+        find = lambda x: x if top[x] == x else find(top[x])  # noqa: B023, E731
+        for x, y in zip(i, j, strict=True):
+            x, y = find(x), find(y)
+            top[max(x, y)] = min(x, y)
+        assert near_dedup.least_labels(np.arange(n), i, j).tolist() == [find(x) for x in range(n)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7), (200, 201)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
