@@ -213,8 +213,8 @@ def _dense(first: DataFrame, percent: int) -> DataFrame:
     return _postings(first, percent, F.col("n"), _level(DENSE)).groupBy("token").count().where(F.col("count") > DENSE).select("token")
 
 
-def _open_pairs(first: DataFrame, dense: DataFrame, percent: int) -> DataFrame:
-    """Candidates of the sets that are ``open``, with earlier sets of all kinds."""
+def _open_pairs(first: DataFrame, dense: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Candidates of the sets that are ``open``, with earlier sets of all kinds: by one word, and by two where the first is dense."""
 
     def meet(a: DataFrame, b: DataFrame, once: Column | None = None) -> DataFrame:
         open_ = F.shiftright("b.ni", 31).bitwiseAND(F.lit(1)) == 1
@@ -236,7 +236,7 @@ def _open_pairs(first: DataFrame, dense: DataFrame, percent: int) -> DataFrame:
     first_two = ~F.arrays_overlap("a.skipped", "b.skipped")
     two = _narrow(two, "skipped")
     # Among the many lines of a dense word few are open. Elsewhere openness is part of the order only, and both sides are one shuffle.
-    return meet(one, one).unionByName(meet(two, two.where(F.shiftright("ni", 31).bitwiseAND(F.lit(1)) == 1), first_two)).distinct()
+    return meet(one, one).distinct(), meet(two, two.where(F.shiftright("ni", 31).bitwiseAND(F.lit(1)) == 1), first_two).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -269,7 +269,9 @@ def repeats(docs: DataFrame, percent: int = PERCENT, text: str = "text") -> tupl
     flagged = first.join(settled.withColumn("gone", F.lit(True)), ["doc_id", "line_no"], "left")
     first = materialize(flagged.withColumn("open", F.col("gone").isNull()).drop("gone"), "line-open")
     discard(spark, "line-first")
-    pairs = materialize(_open_pairs(first, dense, percent), "line-pairs")
+    # Written one after the other, so that the shuffles of the first are gone when the second begins.
+    by_one, by_two = (materialize(found, "line-pairs") for found in _open_pairs(first, dense, percent))
+    pairs = by_one.unionByName(by_two)
     full, best = _full_sets(pairs, docs, text), materialize(_nearest(pairs), "line-best")
     found = _verified(best, full, percent)
     left = pairs.join(found, [F.col("later_doc") == F.col("doc_id"), F.col("later_line") == F.col("line_no")], "left_anti").join(best, _PAIR, "left_anti")
