@@ -17,8 +17,8 @@ order of processing.
    the lines left open meet earlier lines by such a word, where lengths,
    positions and parities of the sets allow the similarity. Words by
    which more than ``DENSE`` lines meet are refined: similar lines share two
-   words among the whole prefix, so those lines meet by the first two that they
-   share.
+   words among the whole prefix, so those lines meet by the first shared word
+   and any later one.
 5. Candidates are verified on full sets, cut again from their texts, the one of
    the nearest parity first; the others only where that one is not similar.
 
@@ -160,8 +160,8 @@ def _postings(first: DataFrame, percent: int, n: Column, at_least: int = 0) -> D
     return _narrow(rows.where(F.col("token") >= at_least << 56) if at_least else rows)
 
 
-def _narrow(rows: DataFrame, *more: str) -> DataFrame:
-    return rows.select("doc_id", "line_no", "parity", "wide", F.hash("token").alias("token"), (F.col("n").cast("long") * _SIZED + F.col("i")).alias("ni"), *more)
+def _narrow(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "line_no", "parity", "wide", F.hash("token").alias("token"), (F.col("n").cast("long") * _SIZED + F.col("i")).alias("ni"))
 
 
 def _at(ni: str) -> Column:
@@ -216,11 +216,11 @@ def _dense(first: DataFrame, percent: int) -> DataFrame:
 def _open_pairs(first: DataFrame, dense: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Candidates of the sets that are ``open``, with earlier sets of all kinds: by one word, and by two where the first is dense."""
 
-    def meet(a: DataFrame, b: DataFrame, once: Column | None = None) -> DataFrame:
+    def meet(a: DataFrame, b: DataFrame) -> DataFrame:
         open_ = F.shiftright("b.ni", 31).bitwiseAND(F.lit(1)) == 1
         before = (F.col("a.doc_id") < F.when(open_, F.col("b.doc_id"))) | (F.col("a.doc_id") == F.when(open_, F.col("b.doc_id"))) & (F.col("a.line_no") < F.col("b.line_no"))
         allowed = (F.col("a.token") == F.col("b.token")) & before & _may("a.", "b.", percent, 2)
-        return a.alias("a").hint("merge").join(b.alias("b").hint("merge"), allowed if once is None else allowed & once).select(*_pair("a.", "b."))
+        return a.alias("a").hint("merge").join(b.alias("b").hint("merge"), allowed).select(*_pair("a.", "b."))
 
     # Openness is the last bit of the size.
     m = F.col("n") * 2 + F.col("open").cast("int")
@@ -229,14 +229,10 @@ def _open_pairs(first: DataFrame, dense: DataFrame, percent: int) -> tuple[DataF
     # A second shared word, from the whole prefix, tells apart the lines of a word that very many share.
     at = rows.join(dense, "token", "left_semi").groupBy("doc_id", "line_no").agg(F.collect_set(_at("ni")).alias("at"))
     two = first.join(at, ["doc_id", "line_no"]).select("doc_id", "line_no", m.alias("n"), "parity", "wide", "prefix", F.explode("at").alias("i"))
-    two = two.select("*", F.posexplode(F.slice("prefix", F.col("i") + 2, F.size("prefix"))).alias("gap", "v"))
-    skipped = F.concat(F.slice("prefix", F.lit(1), F.col("i")), F.slice("prefix", F.col("i") + 2, F.col("gap")))
-    two = two.select("doc_id", "line_no", "n", "parity", "wide", "i", F.xxhash64(F.get("prefix", F.col("i")), "v").alias("token"), skipped.alias("skipped"))
-    # A pair comes from the first two words that it shares, and from no others.
-    first_two = ~F.arrays_overlap("a.skipped", "b.skipped")
-    two = _narrow(two, "skipped")
+    two = two.select("*", F.explode(F.slice("prefix", F.col("i") + 2, F.size("prefix"))).alias("v"))
+    two = _narrow(two.withColumn("token", F.xxhash64(F.get("prefix", F.col("i")), "v")))
     # Among the many lines of a dense word few are open. Elsewhere openness is part of the order only, and both sides are one shuffle.
-    return meet(one, one).distinct(), meet(two, two.where(F.shiftright("ni", 31).bitwiseAND(F.lit(1)) == 1), first_two).distinct()
+    return meet(one, one).distinct(), meet(two, two.where(F.shiftright("ni", 31).bitwiseAND(F.lit(1)) == 1)).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
