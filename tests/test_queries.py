@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from cairnframe.plans import queries
+from cairnframe.plans import id_queries, queries  # noqa: F401  (the first registers its queries with the second)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
