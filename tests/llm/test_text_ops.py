@@ -138,17 +138,66 @@ def test_copies_and_quotes_of_unmarked_pages(spark):
 
 
 def test_chrome_names():
-    assert html_text.blocks('<main class="with-sidebar">a<div class="reader-comments">no</div><section id=share_bar>no</section></main><div>b') == (["a"], False)
-    assert html_text.blocks('<div class="has-sidebar"><p>a<div class="sidebar">no</div></div>') == (["a"], True)
-
-
-def test_repeated_runs_by_brute_force(spark):
-    rng = np.random.default_rng(3)
-    token = lambda n: [f"t{x}" for x in rng.integers(0, 40, n)]
-    shared = token(15)
-    pages = [(i, i % 6, "h", token(20) + (shared if i % 2 else []) + token(10)) for i in range(12)]
-    got = {r.row: r.starts for r in html_text.repeated(spark.createDataFrame(pages, "row long, page_id long, host string, tokens array<string>"), 5).collect()}
-    grams = {i: [tuple(t[j:j + 5]) for j in range(len(t) - 4)] for i, _, _, t in pages}
-    for i, p, _, _ in pages:
-        want = [j for j, g in enumerate(grams[i]) if any(g in grams[k] for k, q, _, _ in pages if q != p)]
-        assert got.get(i, []) == want
+    texts = lambda html: ([t for t, _ in html_text.blocks(html)[0]], html_text.blocks(html)[1])
+    assert texts('<main class="with-sidebar">a<div class="reader-comments">no</div><section id=share_bar>no</section></main><div>b') == (["a"], False)
+    assert texts('<div class="has-sidebar"><p>a<div class="sidebar">no</div></div>') == (["a"], True)
+    assert texts('<article><p class=ad>buy<br>now<p>a<br>b</article>') == (["a", "b"], False)
+    html = '<article>a<div id="related-work">b<div>c</div>d</div>e<p class="social-impact">f<br>g<p>h</article>'
+    assert html_text.blocks(html) == ([("a", False), ("b", True), ("c", True), ("d", True), ("e", False), ("f", True), ("g", True), ("h", False)], False)
+
+
+def test_doubtful_names_inside_an_article(spark):
+    """A name that only hints at chrome is not enough: the block must recur on the host."""
+    def page(i, host, work, more=""):
+        return (i, f"http://{host}/{i}", f'<article><p>body of page {i}</p><div class="related-work">{work}</div>{more}<p>end of it</p></article>')
+    pages = [page(1, "a", "what others found before us"), page(2, "a", "read this too"), page(3, "a", "read this too"), page(4, "b", "read this too")]
+    pages += [page(5, "c", "one own remark"), page(5, "c", "one own remark"), page(6, "c", "", "<p>read this too</p>")]
+    got = sorted((r.page_id, r.text) for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect())
+    own = {1: " what others found before us", 4: " read this too", 5: " one own remark", 6: " read this too"}
+    assert got == [(i, f"body of page {i}{own.get(i, '')} end of it") for i in (1, 2, 3, 4, 5, 5, 6)]
+
+
+def _main_text(pages, run):
+    """What ``extract`` gives, by comparing every run of a host with those of every page of other content."""
+    seen = []
+    for i, host, html in pages:
+        found, doubt = html_text.blocks(html)
+        open_ = [(b.split(), named) for b, named in found if doubt or named]
+        flat = [w for b, _ in open_ for w in b]
+        runs = [("run", *flat[j:j + run]) for j in range(len(flat) - run + 1)]
+        runs += [("whole", *b) for b, named in open_ if named and len(b) < run]
+        seen.append((i, host, " ".join(b for b, _ in found), found, doubt, flat, set(runs)))
+    out = []
+    for i, host, content, found, doubt, flat, _ in seen:
+        others = set().union(*(r for _, h, c, *_, r in seen if h == host and c != content))
+        covered = {k for j in range(len(flat) - run + 1) if ("run", *flat[j:j + run]) in others for k in range(j, j + run)}
+        kept, at = [], 0
+        for b, named in found:
+            if doubt or named:
+                words, at = b.split(), at + len(b.split())
+                if all(k in covered for k in range(at - len(words), at)) or named and len(words) < run and ("whole", *words) in others:
+                    continue
+            kept.append(b)
+        out.append((i, " ".join(kept)))
+    return sorted(out)
+
+
+def test_page_text_by_brute_force(spark):
+    rng = np.random.default_rng(8)
+    pool = [" ".join(f"w{x}" for x in rng.integers(0, 9, n)) for n in rng.integers(1, 12, 30)]
+    pages = []
+    for i in range(60):
+        parts = []
+        for b in rng.choice(pool, rng.integers(0, 7)):
+            parts.append(rng.choice(["<p>{}</p>", "<div>{}", '<div class="related-work">{}</div>', '<p id="social-impact">{}', '<div class="ad">{}</div>']).format(b))
+        body = "".join(parts)
+        pages.append((i % 57, f"h{rng.integers(0, 3)}", f"<article>{body}</article>" if i % 2 else body))
+    rows = spark.createDataFrame([(i, f"http://{h}/x", html, "clash") for i, h, html in pages], "page_id long, url string, html string, text string")
+    for run in (2, 5):
+        assert sorted((r.page_id, r.text) for r in html_text.extract(rows, run).collect()) == _main_text(pages, run)
+
+
+def test_very_long_page(spark):
+    html = "<article>" + "<p>some words here</p>" * 60_000 + "<div class='related-work'>" + "x y " * 50_000 + "</div></article>"
+    got = html_text.extract(spark.createDataFrame([(1, "http://h/1", html)], "page_id long, url string, html string")).first()
+    assert got.n_chars == 60_000 * 16 + 50_000 * 4 - 1
