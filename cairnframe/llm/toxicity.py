@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import materialize
+
 MAX_ROWS = 20_000
 MAX_FEATURES = 6_000
 MIN_DOCS = 3
@@ -148,8 +150,8 @@ def train(
     labelled: DataFrame, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES,
     fairness: float = FAIRNESS, ridge: float = RIDGE,
 ) -> Model:
-    """Fit on rows of (doc_id, text, label); reads at most ``max_rows`` of them."""
-    rows = labelled.where(F.col("label").isNotNull())
+    """Fit on at most ``max_rows`` of the rows of (doc_id, text, label), as ``labelled_sample`` chooses them."""
+    rows = labelled_sample(labelled, labelled, max_rows)
 
     @F.pandas_udf("struct<own:array<string>,other:array<string>>")
     def extracted(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -163,7 +165,7 @@ def train(
             yield pd.DataFrame({"own": own, "other": other})
 
     sample = rows.select("doc_id", "text", F.col("label").cast("double").alias("label"))
-    sample = sample.withColumn("f", extracted("text")).select("doc_id", "label", "f")
+    sample = materialize(sample.withColumn("f", extracted("text")).select("doc_id", "label", "f"), "toxicity-features")
     total, positive = sample.agg(F.count(F.lit(1)), F.sum("label")).first()
     if not total or not positive or positive == total:
         share = (positive or 0.0) / total if total else 0.0
@@ -207,10 +209,12 @@ def train(
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """At most ``max_rows`` rows of (doc_id, text, label), the first by a hash of doc_id.
 
-    The sample's ids have a fixed bound, so they are broadcast to the scan.
+    The sample's ids have a fixed bound, so they are broadcast to the scan. Rows without an id or a label take no
+    part; of two labels or two texts of one id the greater counts.
     """
-    ids = labels.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
+    ids = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.max("text").alias("text")).select("doc_id", "text", "label")
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -109,12 +109,26 @@ def test_toxicity_learns_and_is_fair(spark):
     of, bare = fair.scorer(), plain.scorer()
     assert of("the vilea vileb w1 w2") > 0.5 > of("w1 w2 w3")
     change = lambda m: abs(m("w1 muslims w2") - m("w1 christians w2"))
-    assert change(of) <= change(bare) + 1e-9
+    assert change(of) < change(bare) / 2  # a strict fall: without the penalty the mention itself carries weight
     scored = toxicity.score(frame(spark, [None, "", LONG]), fair).collect()
     assert all(0 <= r.score <= 1 for r in scored)
     assert toxicity.train(data.where("label = 9")).scorer()("x") < 0.01
 
 
+def test_toxicity_sample_and_edges(spark):
+    rows = [(i, f"text {i}", i % 2) for i in range(40)] + [(3, "text 3", 1), (3, "zzz", 0), (None, "lost", 1), (99, "no label", None)]
+    data = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    got = toxicity.labelled_sample(data, data, 10).collect()
+    assert len(got) == len({r.doc_id for r in got}) == 10 and {tuple(r) for r in got} == {tuple(r) for r in toxicity.labelled_sample(data, data, 10).collect()}
+    assert {r.doc_id: (r.text, r.label) for r in toxicity.labelled_sample(data, data).collect()} == {i: ("zzz" if i == 3 else f"text {i}", i % 2) for i in range(40)}
+    first = data.join(toxicity.labelled_sample(data, data, 7).select("doc_id"), "doc_id")
+    assert toxicity.train(data, max_rows=7) == toxicity.train(first)
+    model = toxicity.Model({"bad": 3.0}, -1.0)
+    clash = spark.createDataFrame([(1, "bad", 9.0), (1, "bad", 9.0), (2, None, 9.0)], "doc_id long, text string, score double")
+    scores = [r.score for r in toxicity.score(clash, model).orderBy("doc_id").collect()]
+    assert scores[0] == scores[1] > 0.8 > 0.3 > scores[2] and toxicity.score(clash.limit(0), model).count() == 0
+
+
 PAGE = '<html><head><title>t</title><script>var t="</p>";</script></head><body><nav><a>menu</a></nav><!-- ad --><div class="cookie-notice">yes</div>{}<footer>&copy; f</footer></body></html>'
 
 
